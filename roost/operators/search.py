@@ -13,7 +13,8 @@ from roost.operators import filters as flt
 from roost.operators.dedupe import collapse_duplicates, first_by_key
 from roost.operators.rank import listing_order, top_per_group
 from roost.operators.score import PREPARED, prepare_listings, with_score
-from roost.plans.search_plan import BASE_FIELDS, criteria_for, plan_requests, plan_tasks
+from roost.plans.search_plan import criteria_for, plan_requests, plan_tasks
+from roost.sources.staging import stage
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
@@ -24,7 +25,7 @@ _NONE = "array<string>"
 
 @dataclass
 class SearchOutput:
-    """Lazy result tables of a batch of searches, all keyed by ``search_id``."""
+    """Result tables of a batch of searches, all keyed by ``search_id``."""
 
     results: DataFrame
     coverage: DataFrame
@@ -183,13 +184,16 @@ def run_search(
 ) -> SearchOutput:
     """Run every saved search over the stored listings.
 
+    The passes over the listings run here, once, and are staged in the shared checkpoint
+    folder; the returned tables are lazy and read only the staged, bounded rows.
+
     ``outcomes`` holds what reading each (portal, place) gave (``schema.OUTCOME``); a pair
     with an error code contributes no listings. ``scope`` is ``crawl`` (listings belong to
     the place they were fetched for) or ``city`` (to every place their city text names).
     """
-    requests = _shared_runs(plan_requests(searches, max_tasks))
+    requests = stage(_shared_runs(plan_requests(searches, max_tasks)), "requests")
     runs = requests.dropDuplicates([RUN]).drop("search_id")
-    tasks = plan_tasks(runs, RUN)
+    tasks = stage(plan_tasks(runs, RUN), "tasks")
     profile = profile_tasks(tasks)
 
     if outcomes is not None:
@@ -211,9 +215,11 @@ def run_search(
     live = tasks.filter("error_code IS NULL").drop("source_kind", "warnings", "error_code", "error_message")
 
     prepared = prepare_listings(listings, text_signals=profile.signals, hints=profile.hints)
-    stats = listing_stats(prepared, live, profile, scope)
+    stats = stage(listing_stats(prepared, live, profile, scope), "stats")
     matched = match_listings(prepared, live, profile, scope).filter(flt.base_ok())
-    picked = _pick_per_task(with_score(matched.withColumn("floor_pass", flt.floor_ok())), live, stats, profile)
+    scored = with_score(matched.withColumn("floor_pass", flt.floor_ok()))
+    # all outputs read the picked rows: one pass over the listings, written once
+    picked = stage(_pick_per_task(scored, live, stats, profile), "picked")
 
     # everything below is keyed by run and holds at most 5 x 13 x 50 rows per run
     per_run = picked.repartition(RUN)
@@ -432,5 +438,3 @@ def _action_required(requests: DataFrame) -> DataFrame:
         F.lit(rules.MISSING_LOCATION_RETRY).alias("retry_hint"),
     )
 
-
-__all__ = ["SearchOutput", "run_search", "BASE_FIELDS"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,16 +23,3 @@ def build_session(app: str = "roost", master: str | None = None, shuffle_partiti
         .config("spark.driver.memory", os.environ.get("ROOST_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cutting lineage, as named by the session.
-
-    Only a local session without the setting gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="roost-checkpoint-")
