@@ -76,27 +76,34 @@ def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _decode_numeric(c: Column, pattern: str, to_hex) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated and planned once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _decode_numeric(text: Column, pattern: str, to_hex) -> Column:
     """Replace every numeric reference matching ``pattern`` by its character.
 
     The text between references and the decoded characters are zipped together again.
     Code points outside Unicode, and surrogates, keep their source text.
     """
-    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
     def decode(ref: Column) -> Column:
+        def from_digits(digits: Column) -> Column:
+            code = F.lpad(digits, 8, "0")
+            ok = (F.length(digits) <= 6) & (code <= F.lit("0010FFFF")) & ~code.between("0000D800", "0000DFFF")
+            safe = F.when(ok, code).otherwise(F.lit("00000020"))
+            return F.when(ok, F.decode(F.unhex(safe), "UTF-32")).otherwise(ref)
+
         digits = F.upper(F.regexp_replace(to_hex(F.regexp_extract(ref, pattern, 1)), "^0+(?=.)", ""))
-        code = F.lpad(digits, 8, "0")
-        ok = (F.length(digits) <= 6) & (code <= F.lit("0010FFFF")) & ~code.between("0000D800", "0000DFFF")
-        safe = F.when(ok, code).otherwise(F.lit("00000020"))
-        return F.when(ok, F.decode(F.unhex(safe), "UTF-32")).otherwise(ref)
+        return let(digits, from_digits)
 
     glued = F.zip_with(
-        F.split(c, pattern, -1),
-        F.concat(F.transform(whole, decode), F.array(F.lit(""))),
-        lambda text, char: F.concat(text, char),
+        F.split(text, pattern, -1),
+        F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), decode), F.array(F.lit(""))),
+        lambda part, char: F.concat(part, char),
     )
-    return F.when(c.rlike(pattern), F.array_join(glued, "")).otherwise(c)
+    return F.when(text.rlike(pattern), F.array_join(glued, "")).otherwise(text)
 
 
 # Named character references (target text per name), `amp` last so that
@@ -106,17 +113,23 @@ NAMED_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp
 
 def decode_entities(c: Column, extra: list[tuple[str, str]] | None = None) -> Column:
     """Decode hex, decimal and named character references, in that order."""
-    out = _decode_numeric(c, "(?i)&#x([0-9a-f]+);", lambda d: d)
-    out = _decode_numeric(
-        out,
-        "&#([0-9]+);",
-        lambda d: F.when(F.length(d) <= 15, F.hex(F.try_to_number(d, F.lit("9" * 15)).cast("long"))).otherwise(
-            F.lit("FFFFFFFF")
-        ),
-    )
-    for name, char in (extra or []) + NAMED_ENTITIES:
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+    def decimal_to_hex(d: Column) -> Column:
+        return F.when(F.length(d) <= 15, F.hex(d.try_cast("bigint"))).otherwise(F.lit("FFFFFFFF"))
+
+    def named(text: Column) -> Column:
+        for name, char in (extra or []) + NAMED_ENTITIES:
+            text = F.regexp_replace(text, f"(?i)&{name};", char)
+        return text
+
+    def decoded(text: Column) -> Column:
+        no_hex = _decode_numeric(text, "(?i)&#x([0-9a-f]+);", lambda d: d)
+        no_numbers = let(no_hex, lambda x: _decode_numeric(x, "&#([0-9]+);", decimal_to_hex))
+        return F.when(~F.contains(text, F.lit("&")), text).otherwise(
+            named(F.when(F.contains(text, F.lit("&#")), no_numbers).otherwise(text))
+        )
+
+    return let(c, decoded)
 
 
 def strip_tags(c: Column) -> Column:
@@ -132,9 +145,13 @@ def strip_closed_tags(c: Column, extra: list[tuple[str, str]] | None = None) ->
 def unique_strings(arr: Column) -> Column:
     """Trimmed non-blank strings, first spelling wins, case-insensitive, order kept."""
     trimmed = F.filter(F.transform(arr, trim_ws), lambda x: F.length(x) > 0)
-    return F.filter(
-        trimmed, lambda x, i: F.array_position(F.transform(trimmed, F.lower), F.lower(x)) == i + F.lit(1)
-    )
+
+    def first_only(values: Column) -> Column:
+        return F.filter(
+            values, lambda x, i: F.array_position(F.transform(values, F.lower), F.lower(x)) == i + F.lit(1)
+        )
+
+    return let(trimmed, first_only)
 
 
 def contains_term(haystack: Column, term: Column) -> Column:

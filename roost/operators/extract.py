@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roost import schema
 from roost.functions.text import normalize_text
 from roost.operators.dedupe import first_by_key
-from roost.operators.outcomes import POLICIES, classify_pages, max_requests
+from roost.operators.outcomes import POLICIES, max_requests, portal_page_class
 from roost.operators.portals import cards, structured
 
 PORTAL_JOBS = {
@@ -48,8 +48,8 @@ def page_listings(pages: DataFrame, portals: list[str] | None = None) -> DataFra
     pages = with_page_columns(pages)
     frames = []
     for name in portals or list(PORTAL_JOBS):
-        mine = classify_pages(pages.filter(F.col("portal") == name)).filter("page_class = 'ok'")
-        frames.append(PORTAL_JOBS[name](mine))
+        readable = portal_page_class(name, F.col("http_status"), F.col("html")) == "ok"
+        frames.append(PORTAL_JOBS[name](pages.filter((F.col("portal") == name) & readable)))
     out = frames[0]
     for other in frames[1:]:
         out = out.unionByName(other)

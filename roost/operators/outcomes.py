@@ -133,32 +133,31 @@ def challenge_id(html: Column, headers: Column) -> Column:
     return F.coalesce(from_header, trim_ws(in_body))
 
 
+def portal_page_class(name: str, status: Column, html: Column) -> Column:
+    """Class of one fetched page of a known portal, before its listings are counted."""
+    p = POLICIES[name]
+    challenge = F.coalesce(html.rlike(CHALLENGE.get(name, rules.BOT_BLOCK)), F.lit(False))
+    out = F.when(status.isNull() | (status == 0), "unavailable").when(status == 429, "rate_limited")
+    if p.blocked:
+        out = out.when(status.isin(list(p.blocked)), "blocked")
+    if p.not_found:
+        out = out.when(status == 404, "not_found")
+    out = out.when(status >= 500, p.server_error)
+    if name in ("yaencontre", "habitaclia"):
+        # these look for a challenge before they look at other client errors
+        return out.when(challenge, "challenge").when(status >= 400, "http_error").otherwise("ok")
+    out = out.when((status < 200) | (status >= 300), "http_error")
+    if p.error_page:
+        out = out.when(F.coalesce(html.rlike(p.error_page), F.lit(False)), p.error_page_class)
+    if name != "pisos":
+        out = out.when(challenge, "challenge")
+    return out.otherwise("ok")
+
+
 def page_class(status: Column, html: Column) -> Column:
-    """Class of one fetched page, before its listings are counted."""
-
-    def rule(name: str, p: PortalPolicy) -> Column:
-        is_blocked = status.isin(list(p.blocked)) if p.blocked else F.lit(False)
-        challenge = F.coalesce(html.rlike(CHALLENGE.get(name, rules.BOT_BLOCK)), F.lit(False))
-        out = (
-            F.when(status.isNull() | (status == 0), "unavailable")
-            .when(status == 429, "rate_limited")
-            .when(is_blocked, "blocked")
-        )
-        if p.not_found:
-            out = out.when(status == 404, "not_found")
-        out = out.when(status >= 500, p.server_error)
-        if name in ("yaencontre", "habitaclia"):
-            # these look for a challenge before they look at other client errors
-            out = out.when(challenge, "challenge").when(status >= 400, "http_error")
-            return out.otherwise("ok")
-        out = out.when((status < 200) | (status >= 300), "http_error")
-        if p.error_page:
-            out = out.when(F.coalesce(html.rlike(p.error_page), F.lit(False)), p.error_page_class)
-        if name != "pisos":
-            out = out.when(challenge, "challenge")
-        return out.otherwise("ok")
-
-    return _per_portal(rule, F.when(status == 200, "ok").otherwise("http_error"))
+    return _per_portal(
+        lambda name, _: portal_page_class(name, status, html), F.when(status == 200, "ok").otherwise("http_error")
+    )
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:

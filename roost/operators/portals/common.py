@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roost import rules, schema
 from roost.functions.numbers import parse_number, round_half_up
-from roost.functions.text import WE, all_matches, first_match, not_blank, slugify, strip_tags
+from roost.functions.text import WE, all_matches, first_match, let, not_blank, slugify, strip_tags
 from roost.functions.urls import absolute_url, url_path
 
 PAGE_KEYS = ["portal", "crawl_location", "page_no", "path", "fetched_at", "requested_type"]
@@ -74,22 +74,22 @@ def slug_id(path: Column, url: Column) -> Column:
 
 
 def page_path(url: Column) -> Column:
-    path = url_path(url)
-    return F.when(path == "", "/").otherwise(path)
+    return F.coalesce(not_blank(url_path(url)), F.when(url.isNotNull(), F.lit("/")))
 
 
 def full_url(link: Column, base: str) -> Column:
     """Absolute link with lower-case host and at least ``/`` as its path."""
     parts = r"(?i)^(https?)://([^/?#]+)([^?#]*)([\s\S]*)\z"
-    absolute = absolute_url(link, base)
-    path = F.regexp_extract(absolute, parts, 3)
-    return F.when(
-        absolute.rlike(parts),
-        F.concat(
-            F.lower(F.regexp_extract(absolute, parts, 1)), F.lit("://"), F.lower(F.regexp_extract(absolute, parts, 2)),
-            F.when(path == "", "/").otherwise(path), F.regexp_extract(absolute, parts, 4),
-        ),
-    ).otherwise(absolute)
+
+    def normal(url: Column) -> Column:
+        path = F.regexp_extract(url, parts, 3)
+        rebuilt = F.concat(
+            F.lower(F.regexp_extract(url, parts, 1)), F.lit("://"), F.lower(F.regexp_extract(url, parts, 2)),
+            F.when(path == "", "/").otherwise(path), F.regexp_extract(url, parts, 4),
+        )
+        return F.when(url.rlike(parts), rebuilt).otherwise(url)
+
+    return let(absolute_url(link, base), normal)
 
 
 def title_words(token: Column, separator: str) -> Column:

@@ -232,7 +232,7 @@ def test_outcomes_and_rollup(spark):
         page("milanuncios", "Access denied"), page("spainhouses", "", status=429), page("pisos", "", status=429),
     ]
     df = spark.createDataFrame(pages, schema.PAGE)
-    out = page_outcomes(df, page_listings(df))
+    out = page_outcomes(df, page_listings(df, ["nuroa", "yaencontre", "milanuncios"]))
     classes = {(r.portal, r.page_no): r.page_class for r in out.collect()}
     assert classes[("nuroa", 1)] == "blocked" and classes[("nuroa", 2)] == "template"
     assert classes[("idealista", 2)] == "challenge" and classes[("yaencontre", 1)] == "no_cards"
