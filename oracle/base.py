@@ -113,7 +113,7 @@ place AS (
   SELECT search_id, 0, '{rules.DISCOVERY}', []::VARCHAR[] FROM search WHERE mode = 3
 ),
 source_list AS (
-  SELECT search_id, mode,
+  SELECT search_id,
          CASE WHEN explicit THEN ['pisos', 'nuroa', 'idealista']
               WHEN coalesce(transaction_type = 'rent', true)
                    AND (len(property_types) = 0 OR list_has_any(property_types, ['flat', 'house']))

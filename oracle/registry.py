@@ -74,15 +74,6 @@ counted AS (
 )""",
     select="SELECT search_id, loc_pos::BIGINT AS loc_pos, src_pos::BIGINT AS src_pos, coalesce(n, 0) AS candidates FROM task LEFT JOIN counted USING (portal, location)",
 )
-CUSTOMER_SEARCH = b.searches(
-    "(SELECT DISTINCT c_nationkey, c_mktsegment, n_name, c_custkey % 12 AS k, 3 AS n FROM customer JOIN nation ON n_nationkey = c_nationkey)",
-    "c_nationkey || '-' || c_mktsegment || '-' || k",
-)
-add(
-    "search_by_customer", b.LISTING, CUSTOMER_SEARCH, *b.SEARCH_CTES[2:],
-    select="""SELECT 'c-' || c_custkey AS search_id, result_rank, canonical_id, score::BIGINT AS score
-FROM customer JOIN result ON search_id = c_nationkey || '-' || c_mktsegment || '-' || (c_custkey % 12)""",
-)
 add(
     "search_plan", b.SEARCH, b.PLACE,
     select="""SELECT search_id, loc_pos::BIGINT AS loc_pos, location, src_pos::BIGINT AS src_pos, portal, cap::BIGINT AS cap,
@@ -204,13 +195,20 @@ for portal in rules.PORTALS:
         "fotocasa": "'Nation ' || regexp_extract(crawl_location, '[0-9]+')",
         "tucasa": f"{collapse(chr(39).join(['regexp_replace(shown, ', ' *' + chr(92) + '([^)]*' + chr(92) + ') *', ', ', ' ', ', ', 'g', ')']))}",
     }.get(portal, "shown")
+    # an empty heading: some layouts name the listing after its id, one skips the card
+    fallback = {"fotocasa": "'Vivienda ' || o_orderkey"}.get(
+        portal,
+        "'Inmueble ' || o_orderkey" if portal in ("habitaclia", "milanuncios", "spainhouses", "idealista", "tucasa", "yaencontre") else "''",
+    )
+    heading = f"coalesce(nullif({collapse(FULL_TITLE)}, ''), {fallback})"
+    skipped = "WHERE ft <> ''" if portal == "pisos" else ""
     add(
         f"extract_{portal}", b.LISTING,
-        f"""src AS (SELECT *, {collapse(FULL_TITLE)} AS ft, {collapse('description')} AS d,
+        f"""src AS (SELECT *, {heading} AS ft, {collapse('description')} AS d,
             CASE WHEN city = '' THEN crawl_location ELSE city END AS shown FROM listing WHERE portal = '{portal}')""",
         select=f"""
 SELECT canonical_id, crawl_location, {URLS[portal]} AS url, ft AS title, {city} AS city, floor(price_eur)::DOUBLE AS price_eur,
-  rooms, {kind} AS property_type, md5({described}) AS description_md5, {tags} AS tags FROM src""",
+  rooms, {kind} AS property_type, md5({described}) AS description_md5, {tags} AS tags FROM src {skipped}""",
     )
 
 add(

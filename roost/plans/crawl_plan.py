@@ -201,12 +201,11 @@ def candidate_paths(name: str) -> Column:
                 lambda r: F.when(bare, route(r, F.col("rent_slug"), province, F.lit(None).cast("string"))),
             )
         )
-        broad = F.flatten(
-            F.array(*[
-                F.transform(res, lambda r, c=c: route(r, F.lit(RENT_ROUTES[c][0]), F.lit(str(RENT_ROUTES[c][1])), F.lit(str(RENT_ROUTES[c][2]))))
-                for c in RENT_DISCOVERY
-            ])
-        )
+        def seeded(name: str) -> Column:
+            where, code, place = RENT_ROUTES[name]
+            return F.transform(res, lambda r: route(r, F.lit(where), F.lit(str(code)), F.lit(str(place))))
+
+        broad = F.flatten(F.array(*[seeded(c) for c in RENT_DISCOVERY]))
         return _pages(F.when(has_city & province.isNotNull(), city).otherwise(broad), query_page, has_city)
     if name == "pisos":
         slugs = F.when(has_city, F.array(flat_slug)).otherwise(_texts([c.lower() for c in PISOS_CITIES]))

@@ -40,8 +40,15 @@ def _line(name: str, sep: str = " | ") -> Column:
     return F.array_join(name, sep).alias(name)
 
 
+_STAGED: dict[tuple, object] = {}
+
+
 def _search(spark, sf_dir, **options):
-    return run_search(views.search_view(spark, sf_dir), views.listing_view(spark, sf_dir), **options)
+    """The search batch; queries of one application share its staged tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
+    if key not in _STAGED:
+        _STAGED[key] = run_search(views.search_view(spark, sf_dir), views.listing_view(spark, sf_dir), **options)
+    return _STAGED[key]
 
 
 # -- search -----------------------------------------------------------------------------

@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition rows over the whole cluster before heavy text work.
+
+    The driver tables are single small files, and adaptive coalescing would leave their
+    joins in one task. The partitioning also serves the joins on ``key`` that follow.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
+
+
 def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -47,9 +58,11 @@ def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.floor(F.col("o_orderkey") / 15).alias("doc_id")
+    )
     rows = (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.floor(F.col("o_orderkey") / 15).alias("doc_id"))
+        spread(orders, "o_orderkey")
         .join(customer, "o_custkey")
         .join(nation, "n_nationkey")
         .join(first_line, "o_orderkey", "left")
