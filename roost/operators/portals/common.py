@@ -102,11 +102,14 @@ def title_words(token: Column, separator: str) -> Column:
 
 def infer_type(text: Column) -> Column:
     """First property type whose words occur in the text."""
-    low = F.lower(text)
-    out = F.when(low.rlike(rules.TYPE_WORDS[0][1]), rules.TYPE_WORDS[0][0])
-    for name, words in rules.TYPE_WORDS[1:]:
-        out = out.when(low.rlike(words), name)
-    return out
+
+    def pick(low: Column) -> Column:
+        out = F.when(low.rlike(rules.TYPE_WORDS[0][1]), rules.TYPE_WORDS[0][0])
+        for name, words in rules.TYPE_WORDS[1:]:
+            out = out.when(low.rlike(words), name)
+        return out
+
+    return let(F.lower(text), pick)
 
 
 def type_by(text: Column, cases: list[tuple[str, str]]) -> Column:
@@ -118,7 +121,11 @@ def type_by(text: Column, cases: list[tuple[str, str]]) -> Column:
 
 
 def infer_tags(text: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in patterns or rules.TAG_PATTERNS]))
+    def pick(low: Column) -> Column:
+        hits = [F.when(low.rlike(rules.lower_pattern(p)), F.lit(t)) for t, p in patterns or rules.TAG_PATTERNS]
+        return F.array_compact(F.array(*hits))
+
+    return let(F.lower(text), pick)
 
 
 BATHROOMS = rf"(?iu)([0-9]+)\s*bañ(?:o|os){WE}"

@@ -276,7 +276,7 @@ def index_links(index_pages: DataFrame, cities: DataFrame) -> DataFrame:
         .withColumn("url", full_url(F.col("href"), base))
         .filter(F.contains(page_path(F.col("url")), F.concat(F.lit("/"), F.col("operation_path"), F.lit("/"))))
     )
-    parts = F.filter(F.transform(F.split(page_path(F.col("url")), "/"), slugify), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(page_path(F.col("url")), "/"), lambda s: slugify(s)), lambda s: s != "")
 
     def heads(segment: Column) -> Column:
         words = F.split(segment, "-")

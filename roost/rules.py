@@ -74,6 +74,13 @@ TAG_PATTERNS = [
     ("retreat", r"(?iu)(?:retiro|retreat)"),
     ("renovation", r"(?iu)(?:reforma|renov)"),
 ]
+
+
+def lower_pattern(pattern: str) -> str:
+    """A case-insensitive pattern of lower-case words, for text that is lower-cased already."""
+    return pattern.removeprefix("(?iu)")
+
+
 LIGHT_TAGS = ["natural_light", "exterior", "large_windows", "good_orientation"]
 
 # Pages that refuse automated reading.
