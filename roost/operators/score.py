@@ -77,9 +77,12 @@ def light_intent() -> Column:
     return F.arrays_overlap(wanted, F.array(*[F.lit(t) for t in rules.LIGHT_TAGS]))
 
 
-def with_score(candidates: DataFrame, min_floor: Column | None = None) -> DataFrame:
-    """Add ``score`` (0..100) and ``why_matched``; ``min_floor`` overrides the criteria's bound."""
-    floor_bound = _q("min_floor") if min_floor is None else min_floor
+def with_score(candidates: DataFrame, open_floor: bool = False) -> DataFrame:
+    """Add ``score`` (0..100) and ``why_matched``.
+
+    With ``open_floor`` also ``score_open`` and ``why_open``: the same without the floor
+    bound, for searches whose floor rules get relaxed.
+    """
     base = candidates.withColumns(
         {
             "_city": flt.has_city() & flt.city_match(),
@@ -95,7 +98,7 @@ def with_score(candidates: DataFrame, min_floor: Column | None = None) -> DataFr
     room_delta = F.col("rooms") - _q("min_rooms")
     rooms_hit = _non_zero(_q("min_rooms")) & _non_zero(F.col("rooms")) & F.coalesce(room_delta >= 0, F.lit(False))
     capacity_hit = _q("min_capacity_people").isNotNull() & F.col("capacity_people").isNotNull()
-    floor_hit = F.coalesce(floor >= floor_bound, F.lit(False))
+    floor_hit = F.coalesce(floor >= _q("min_floor"), F.lit(False))
     high = light & F.coalesce(floor >= 5, F.lit(False))
     floor_text = floor.cast("string")
 
@@ -135,16 +138,24 @@ def with_score(candidates: DataFrame, min_floor: Column | None = None) -> DataFr
             "Renovation-friendly description",
         ),
     ]
-    total: Column = F.lit(45.0)
-    reasons = []
-    for condition, points, reason in parts:
-        amount = points if isinstance(points, Column) else F.lit(points)
-        total = total + F.when(condition, amount.cast("double")).otherwise(F.lit(0.0))
-        if reason is not None:
-            reasons.append(F.when(condition, reason if isinstance(reason, Column) else F.lit(reason)))
-    return base.withColumns(
-        {
-            "score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).cast("int"),
-            "why_matched": F.array_compact(F.array(*reasons)),
-        }
-    ).drop("_city", "_tags", "_hints", "_light")
+
+    def points_of(rules_used: list) -> Column:
+        total: Column = F.lit(45.0)
+        for condition, points, _ in rules_used:
+            amount = points if isinstance(points, Column) else F.lit(points)
+            total = total + F.when(condition, amount.cast("double")).otherwise(F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).cast("int")
+
+    def reasons_of(rules_used: list) -> Column:
+        reasons = [
+            F.when(condition, reason if isinstance(reason, Column) else F.lit(reason))
+            for condition, _, reason in rules_used
+            if reason is not None
+        ]
+        return F.array_compact(F.array(*reasons))
+
+    added = {"score": points_of(parts), "why_matched": reasons_of(parts)}
+    if open_floor:
+        without = [part for part in parts if part[0] is not floor_hit]
+        added |= {"score_open": points_of(without), "why_open": reasons_of(without)}
+    return base.withColumns(added).drop("_city", "_tags", "_hints", "_light")

@@ -217,7 +217,9 @@ def run_search(
     prepared = prepare_listings(listings, text_signals=profile.signals, hints=profile.hints)
     stats = stage(listing_stats(prepared, live, profile, scope), "stats")
     matched = match_listings(prepared, live, profile, scope).filter(flt.base_ok())
-    scored = with_score(matched.withColumn("floor_pass", flt.floor_ok()))
+    scored = with_score(matched.withColumn("floor_pass", flt.floor_ok()), open_floor=profile.floors)
+    # only what is published or still decided on goes through the top-k sort
+    scored = scored.withColumn("locale", F.col("q.locale")).drop("q", "discovery", *PREPARED)
     # all outputs read the picked rows: one pass over the listings, written once
     picked = stage(_pick_per_task(scored, live, stats, profile), "picked")
 
@@ -279,11 +281,14 @@ def _final_rank(collapsed: DataFrame, profile: PlanProfile) -> DataFrame:
     """Global order per run: best row of every place first when there are several places."""
     rows = collapsed.select(RUN, F.explode("kept").alias("r")).select(RUN, "r.*")
     if profile.floors:
-        # a single-place run is scored again without floor rules once any task was relaxed
+        # a single-place run counts without floor rules once any of its tasks was relaxed
         relaxed = (F.col("n_places") == 1) & F.col("any_relaxed")
-        rows = with_score(
-            rows.drop("score", "why_matched"), F.when(~relaxed, F.col("q.min_floor"))
-        )
+        rows = rows.withColumns(
+            {
+                "score": F.when(relaxed, F.col("score_open")).otherwise(F.col("score")),
+                "why_matched": F.when(relaxed, F.col("why_open")).otherwise(F.col("why_matched")),
+            }
+        ).drop("score_open", "why_open")
     order = [*listing_order(), F.col("arrival")]
     several = F.col("n_places") > 1
     rows = rows.withColumn("place_rank", F.row_number().over(Window.partitionBy(RUN, "loc_pos").orderBy(*order)))
@@ -292,9 +297,9 @@ def _final_rank(collapsed: DataFrame, profile: PlanProfile) -> DataFrame:
         "result_rank", F.row_number().over(Window.partitionBy(RUN).orderBy(slot, *order))
     ).filter(F.col("result_rank") <= F.col("cap_total"))
     return ranked.drop(
-        *PREPARED, "cap", "cap_total", "discovery", "floor_pass", "task_rank", "arrival", "place_rank", "n_places",
-        "any_relaxed", "location_key", "loc_pos", "src_pos",
-    ).withColumn("locale", F.col("q.locale")).drop("q")
+        "cap", "cap_total", "floor_pass", "task_rank", "arrival", "place_rank", "n_places", "any_relaxed", "location_key",
+        "loc_pos", "src_pos",
+    )
 
 
 def _coverage(tasks: DataFrame, stats: DataFrame, picked: DataFrame) -> DataFrame:
