@@ -345,8 +345,9 @@ add(
 )
 add(
     "portal_counts", *SHOWN, COVERAGE,
-    select="""SELECT search_id, coalesce(nullif(count(DISTINCT portal) FILTER (candidates > 0 OR returned > 0), 0),
-       (SELECT count(DISTINCT source_domain) FROM card k WHERE k.search_id = c.search_id), 0) AS portal_count FROM coverage c GROUP BY search_id""",
+    """gave AS (SELECT search_id, count(DISTINCT portal) FILTER (candidates > 0 OR returned > 0) AS n FROM coverage GROUP BY search_id),
+shown AS (SELECT search_id, count(DISTINCT source_domain) AS n_domains FROM card GROUP BY search_id)""",
+    select="""SELECT search_id, coalesce(nullif(n, 0), n_domains, 0) AS portal_count FROM gave LEFT JOIN shown USING (search_id)""",
 )
 
 # -- status, planning, request log ------------------------------------------------------
