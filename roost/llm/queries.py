@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import simhash
+from roost.llm import packing, simhash
 from roost.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2,048 ids."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, vocabulary="byte_bpe_50k")
+
+
 @query
 def op4_simhash(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, 2 bits."""
