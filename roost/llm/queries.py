@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import packing, simhash
+from roost.llm import langid, packing, quality, simhash
 from roost.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,21 @@ def op4_simhash(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, 2 bits."""
     groups = simhash.simhash_groups(read_table(spark, sf_dir, "documents"), radius=2, shingle_words=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.fit(docs.filter(~held_out))
+    scored = langid.predict(docs.select("doc_id", "text"), model, lang_col="lang_pred", score_col="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Expected grade of every document; kept when grade 2 (good and not toxic) is likelier than not."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(quality.rated_documents(docs, read_table(spark, sf_dir, "labels")))
+    return quality.grade_documents(docs, model, least_grade=2).select("doc_id", "expected_grade", "tail_prob", "keep")
