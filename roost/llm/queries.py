@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import langid, packing, quality, simhash
+from roost.llm import decontaminate, langid, packing, quality, simhash
 from roost.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def op4_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item and the place."""
+    items = decontaminate.benchmark_items(read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), items)
+
+
 @query
 def op7_language_id(spark, sf_dir):
     """Language of every document, learned from those that are not held out."""
