@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +17,9 @@ K1, LENGTH_SHARE = 1.2, 0.75
 SHINGLE = 5
 
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_OUT = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
-        ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
-    ]
-)
-_OUT_DDL = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
+_LEAK = (
+    "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,first_word:long,last_word:long>>"
+)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -160,23 +155,23 @@ def leaks_of(ids: np.ndarray, index: Index, window: int, threshold: float, overl
     return found
 
 
-def contaminated(
+def with_leaks(
     docs: DataFrame,
     items: DataFrame,
     threshold: float = 0.5,
     overlap: float = 0.8,
     answer_words: float = 0.5,
-    id_col: str = "doc_id",
     text_col: str = "text",
+    leaks_col: str = "leaks",
 ) -> DataFrame:
-    """Documents that hold a test item: one row per (doc_id, item_id).
+    """``docs`` with the test items that each row's text holds (an array, empty for a clean row), in place of ``leaks_col``.
 
     ``items``: item_id, question, answer (may be null). Every passage of every whole text queries the item index;
-    items scoring ``threshold`` of their score against themselves are retrieved, all of them, and verified: ``overlap`` of
-    the item's five-word runs and ``answer_words`` of the answer's words must stand in the passage. Items of fewer than
-    five words are matched as one run; items without a word match nothing. Null or empty texts match
-    nothing; repeated rows give repeated results; a null document id is kept as null. Items are dealt by a
-    hash into indexes of about 8 MB of text, each broadcast in turn, with document frequencies over all items.
+    items scoring ``threshold`` of their score against themselves are retrieved, all of them, and verified:
+    ``overlap`` of the item's five-word runs and ``answer_words`` of the answer's words must stand in the passage.
+    Items of fewer than five words are matched as one run; items without a word match nothing. Null or empty
+    texts match nothing; repeated rows and null ids are treated like any other. Items are dealt by a hash into indexes of about
+    8 MB of text, each broadcast and applied in turn, with document frequencies over all items.
     """
     spark = docs.sparkSession
     tokens = F.udf(lambda t: [w.decode("utf-8") for w in words(t)], "array<string>")
@@ -185,11 +180,9 @@ def contaminated(
     n_items, n_words, n_bytes = parts.agg(
         F.count("*"), F.sum(F.size("q") + F.size("a")), F.sum(F.length(F.array_join("q", " ")) + F.length(F.array_join("a", " ")))
     ).first()
-    spread = parts.select("item_id", F.explode(F.array_union("q", "a")).alias("word"))
-    frequency = spread.groupBy("word").agg(F.count("*").alias("df"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    frequency = parts.select("item_id", F.explode(F.array_union("q", "a")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     n_indexes = max(1, -(-(n_bytes or 0) // INDEX_BYTES))
-    result = spark.createDataFrame([], _OUT_DDL)
+    found = []
     for shard in range(n_indexes if n_items else 0):
         own = parts.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_indexes)) == shard)
         rows = [(r["item_id"], [w.encode() for w in r["q"]], [w.encode() for w in r["a"]]) for r in own.collect()]
@@ -199,21 +192,31 @@ def contaminated(
         counts = {r["word"].encode(): r["df"] for r in own_words.join(frequency, "word").collect()}
         idf = {w: float(np.log1p((n_items - df + 0.5) / (df + 0.5))) for w, df in counts.items()}
         held = spark.sparkContext.broadcast(build_index(rows, idf, n_words / n_items))
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            window, get = 2 * index.longest, index.vocabulary.get
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.array([get(w, -1) for w in words(text.as_py())], np.int64)
-                    for place, row in leaks_of(ids, index, window, threshold, overlap, answer_words).items():
-                        out.append((doc_id, index.item_ids[place], *row))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT.types, strict=True)], schema=_OUT)
-
-        result = result.unionByName(source.mapInArrow(search, _OUT_DDL))
-    return result
+        found.append(_leaks_udf(held, threshold, overlap, answer_words)(F.col(text_col)))
+    leaks = F.concat(*found) if found else F.array().cast(_LEAK)
+    return docs.withColumn(leaks_col, leaks)
+
+
+def _leaks_udf(held, threshold: float, overlap: float, answer_words: float):
+    @F.pandas_udf(_LEAK)
+    def search(texts):
+        index = held.value
+        window, get, out = 2 * index.longest, index.vocabulary.get, []
+        for text in texts:
+            ids = np.array([get(w, -1) for w in words(text)], np.int64)
+            hits = leaks_of(ids, index, window, threshold, overlap, answer_words)
+            names = ("score", "question_overlap", "answer_overlap", "first_word", "last_word")
+            out.append([{"item_id": index.item_ids[place]} | dict(zip(names, row, strict=True)) for place, row in hits.items()])
+        return pd.Series(out, dtype="object")
+
+    return search
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per (doc_id, item_id) of ``with_leaks``; options are passed on, a null document id stays null."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = with_leaks(rows, items, **options).select("doc_id", F.explode("leaks").alias("leak"))
+    return held.select("doc_id", "leak.*")
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -113,8 +114,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
     @F.pandas_udf("lang string, score double")
     def label(texts):
-        import pandas as pd
-
         return pd.DataFrame([held.value.score(t) for t in texts], columns=["lang", "score"])
 
     scored = docs.withColumn("__scored", label(F.col(text_col)))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -168,8 +169,6 @@ def grade_documents(
 
     @F.pandas_udf("expected double, tail double")
     def grade(texts):
-        import pandas as pd
-
         grades = np.array(held.value.grades, np.float64)
         at = int(np.searchsorted(grades, least_grade))
         out = []

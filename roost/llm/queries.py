@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, packing, quality, simhash
+from roost.llm import decontaminate, langid, packing, paragraphs, quality, simhash
 from roost.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op7_language_id(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_substring_dedup(spark, sf_dir):
+    """Stretches of repeated paragraphs of all documents, with the documents that keep the text."""
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Expected grade of every document; kept when grade 2 (good and not toxic) is likelier than not."""

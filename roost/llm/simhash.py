@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -148,8 +148,6 @@ def simhash_groups(
 
 def near_duplicate_documents(
     docs: DataFrame,
-    keep: Callable[[DataFrame], DataFrame] | None = None,
-    *,
     shingle_words: int = 5,
     similarity: float = 0.8,
     radius: int = 14,
@@ -161,8 +159,9 @@ def near_duplicate_documents(
     Fingerprints of ``shingle_words``-word shingles within ``radius`` bits propose groups; inside a group
     two documents link when the Jaccard similarity of their shingle sets reaches ``similarity``. At 0.8 the
     expected distance is 9.7 bits with a standard deviation of 2.9, so 14 bits finds about 19 of 20
-    pairs at exactly 0.8 and nearly all closer ones. Texts without a word form one group. Rows: one per id
-    that has a near-duplicate (component_id is the smallest id). Null ids take no part.
+    pairs at exactly 0.8 and nearly all closer ones. Texts without a word form one group. Rows: one per id that
+    was proposed (component_id: the smallest id reachable, itself included); ids that are not listed are alone. Null ids take no part; rows
+    that repeat an id count as one document.
     """
     docs = docs.filter(F.col(id_col).isNotNull())
     prints = stage(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
