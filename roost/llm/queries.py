@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, packing, paragraphs, quality, simhash
+from roost.llm import decontaminate, langid, licenses, packing, paragraphs, quality, simhash
 from roost.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,39 @@ def op2_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), capacity=2048, vocabulary="byte_bpe_50k")
 
 
+@query
+def op3_licenses(spark, sf_dir):
+    """Licence phrases and template matches of every document."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    words = "regexp_extract_all(lower({}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    places = []
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        parts = phrase.split()
+        test = " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(parts))
+        places.append(f"SELECT r, i - 1 AS s, '{label}' AS label FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d) WHERE {test}")
+    rows = ", ".join(f"({n}, '{label}', list_distinct(string_split('{text}', ' ')))" for n, (label, text) in enumerate(licenses.TEMPLATES))
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+    base AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi FROM ({" UNION ALL ".join(places)}) GROUP BY r),
+    base_label AS (SELECT DISTINCT r, label FROM ({" UNION ALL ".join(places)})),
+    line AS (SELECT r, b, list_distinct({words.format("t")}) AS w
+             FROM (SELECT r, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS t, generate_subscripts(regexp_split_to_array(text, '[\\r\\n]+'), 1) AS b FROM d)),
+    hit AS (SELECT r, b, label, len(list_intersect(line.w, t.w)) / len(t.w) AS c
+            FROM line JOIN (VALUES {rows}) t(n, label, w) ON len(list_intersect(line.w, t.w)) >= ceil(0.95 * len(t.w) - 1e-9)),
+    best AS (SELECT r, max(c) AS c, count(DISTINCT b) AS n_blocks FROM hit GROUP BY r),
+    bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM base_label GROUP BY r),
+    al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT * FROM base_label UNION SELECT r, label FROM hit) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(bl.l, '') AS base_labels,
+           coalesce(al.l, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.c, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
+    FROM d LEFT JOIN base USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN best USING (r)"""
+
+
+ORACLES["op3_licenses"] = _license_sql()
+
+
 @query
 def op4_simhash(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, 2 bits."""
