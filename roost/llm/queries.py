@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, licenses, packing, paragraphs, quality, simhash
-from roost.llm.common import read_table
+from roost.llm import decontaminate, langid, licenses, packing, paragraphs, quality, simhash, tokencounts
+from roost.llm.common import read_table, stage
+from roost.sources.staging import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +22,24 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    """Totals after all documents came in, those labelled toxic went, and trimmed texts were counted anew; one batch comes twice."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    versions = ["byte_bpe_50k", "byte_bpe_multi_50k"]
+    counted = stage(tokencounts.count_tokens(docs, versions), "token-counts")
+    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    clean = counted.join(toxic, "doc_id", "left_anti")
+    ragged = docs.filter(F.trim("text") != F.col("text"))
+    again = tokencounts.count_tokens(ragged.withColumn("text", F.trim("text")).join(toxic, "doc_id", "left_anti"), versions)
+    rollup = tokencounts.Rollup(spark, f"{checkpoint_dir(spark).rstrip('/')}/roost-llm/token-rollup-{uuid.uuid4().hex}")
+    rollup.apply("b1-insert", tokencounts.inserts(counted))
+    rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
+    rollup.apply("b3-revise", tokencounts.revisions(clean.join(ragged.select("doc_id").distinct(), "doc_id", "left_semi"), again))
+    rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
+    return rollup.totals()
+
+
 @query
 def op2_packing(spark, sf_dir):
     """All documents packed into sequences of at most 2,048 ids."""
