@@ -24,18 +24,21 @@ def query(fn: Query) -> Query:
 
 @query
 def op1_token_counts(spark, sf_dir):
-    """Totals after all documents came in, those labelled toxic went, and trimmed texts were counted anew; one batch comes twice."""
+    """Totals after all documents came in, those labelled toxic went, and texts with
+    e-mail addresses were counted anew without them; one batch comes twice.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     versions = ["byte_bpe_50k", "byte_bpe_multi_50k"]
     counted = stage(tokencounts.count_tokens(docs, versions), "token-counts")
     toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
     clean = counted.join(toxic, "doc_id", "left_anti")
-    ragged = docs.filter(F.trim("text") != F.col("text"))
-    again = tokencounts.count_tokens(ragged.withColumn("text", F.trim("text")).join(toxic, "doc_id", "left_anti"), versions)
+    redacted = F.regexp_replace("text", r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]")
+    mailed = docs.filter(redacted != F.col("text"))
+    again = tokencounts.count_tokens(mailed.withColumn("text", redacted).join(toxic, "doc_id", "left_anti"), versions)
     rollup = tokencounts.Rollup(spark, f"{checkpoint_dir(spark).rstrip('/')}/roost-llm/token-rollup-{uuid.uuid4().hex}")
     rollup.apply("b1-insert", tokencounts.inserts(counted))
     rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
-    rollup.apply("b3-revise", tokencounts.revisions(clean.join(ragged.select("doc_id").distinct(), "doc_id", "left_semi"), again))
+    rollup.apply("b3-revise", tokencounts.revisions(clean.join(mailed.select("doc_id").distinct(), "doc_id", "left_semi"), again))
     rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
     return rollup.totals()
 
