@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, licenses, packing, paragraphs, quality, simhash, tokencounts
+from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, tokencounts
 from roost.llm.common import read_table, stage
 from roost.sources.staging import checkpoint_dir
 
@@ -112,6 +112,12 @@ def op8_substring_dedup(spark, sf_dir):
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_embedding_dedup(spark, sf_dir):
+    """Links of cosine 0.9 or more between all embeddings, and their components."""
+    return neighbours.embedding_near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query
 def op10_quality(spark, sf_dir):
     """Expected grade of every document; kept when grade 2 (good and not toxic) is likelier than not."""
