@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, tokencounts
+from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts
 from roost.llm.common import read_table, stage
 from roost.sources.staging import checkpoint_dir
 
@@ -96,6 +96,12 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), items)
 
 
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    """Passages of 50 words or more of all documents that an earlier document has too."""
+    return suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_language_id(spark, sf_dir):
     """Language of every document, learned from those that are not held out."""
