@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 #: Rated documents that the fit reads at most, on average (a hash of the text picks them).
 SAMPLE = 20_000
+#: Rows of one part of a gradient.
+PART = 2000
 SHAPES = ("#repeats", "#shouted", "#distinct", "#length")
 _TOKEN = regex.compile(r"\w+|[^\w\s]+")
 
@@ -61,9 +63,11 @@ def _descend(
     params = np.concatenate([np.zeros(n), thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     first, second = np.zeros_like(params), np.zeros_like(params)
     k = above.shape[1]
+    # features come by row: a part of a few thousand rows at a time bounds the memory
+    parts = [slice(*np.searchsorted(row, [low, low + PART])) for low in range(0, len(above), PART)]
     for step in range(1, steps + 1):
         cuts = params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1 :]))])
-        score = np.bincount(row, weights=value * params[:n][column], minlength=len(above))
+        score = sum(np.bincount(row[p], weights=value[p] * params[column[p]], minlength=len(above)) for p in parts)
         tail = _sigmoid(score[:, None] - cuts)
         bound = np.concatenate([np.ones((len(above), 1)), tail, np.zeros((len(above), 1))], axis=1)
         at = above.sum(axis=1).astype(int)
@@ -76,8 +80,9 @@ def _descend(
             inner = tail[:, j] * (1 - tail[:, j]) / gap
             cut_slope[j] = inner[at == j].sum() - inner[at == j + 1].sum()
         back = np.cumsum(cut_slope[::-1])[::-1]
+        pull = sum(np.bincount(column[p], weights=slope[row[p]] * value[p], minlength=n) for p in parts)
         gradient = np.concatenate(
-            [l2 * params[:n] - np.bincount(column, weights=slope[row] * value, minlength=n), -back[:1], -back[1:] * np.exp(params[n + 1 :])]
+            [l2 * params[:n] - pull, -back[:1], -back[1:] * np.exp(params[n + 1 :])]
         )
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -132,23 +137,34 @@ def fit(
                 names=["grade", "buckets", "values"],
             )
 
-    data = picked.mapInArrow(hashed, "grade int, buckets binary, values binary").collect()
-    data.sort(key=lambda r: (r["grade"], bytes(r["buckets"]), bytes(r["values"])))
-    grades = sorted({r["grade"] for r in data}) or [0]
+    data = picked.mapInArrow(hashed, "grade int, buckets binary, values binary").toArrow().sort_by(
+        [("grade", "ascending"), ("buckets", "ascending"), ("values", "ascending")]
+    )
+    grade = data.column("grade").to_numpy()
+    grades = sorted(set(grade.tolist())) or [0]
     if len(grades) == 1:
         return Model(grades, np.zeros(BUCKETS, np.float32), np.empty(0))
-    sizes = np.array([len(r["buckets"]) // 4 for r in data])
-    row = np.repeat(np.arange(len(data)), sizes)
-    column = np.frombuffer(b"".join(r["buckets"] for r in data), np.int32)
-    value = np.frombuffer(b"".join(r["values"] for r in data), np.float32)
-    above = np.array([[r["grade"] > g for g in grades[:-1]] for r in data], np.float64)
-    shapes = np.isin(column, np.array([xxhash.xxh32_intdigest(k) for k in SHAPES], np.int64) % BUCKETS)
-    known = (np.bincount(column, minlength=BUCKETS) >= least_texts)[column] | shapes
-    row, column, value = row[known], column[known], value[known]
-    used, column = np.unique(column, return_inverse=True)
-    selected, _ = _descend(row, column, value, above, len(used), steps, l1 / np.sqrt(len(data)), 0.0)
+    buckets, values = data.column("buckets"), data.column("values")
+    texts = np.zeros(BUCKETS, np.int64)
+    for one in buckets:
+        texts[np.frombuffer(one.as_py(), np.int32)] += 1
+    keep = texts >= least_texts
+    keep[np.array([xxhash.xxh32_intdigest(k) for k in SHAPES], np.int64) % BUCKETS] = True
+    used = np.flatnonzero(keep & (texts > 0))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    rows_of: list[tuple[np.ndarray, np.ndarray]] = []
+    for one, weight in zip(buckets, values, strict=True):
+        column = number[np.frombuffer(one.as_py(), np.int32)]
+        rows_of.append((column[column >= 0], np.frombuffer(weight.as_py(), np.float32)[column >= 0]))
+    sizes = [len(c) for c, _ in rows_of]
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    column, value = (np.concatenate([r[k] for r in rows_of]) for k in (0, 1))
+    del data, buckets, values, rows_of
+    above = np.array([grade > g for g in grades[:-1]], np.float64).T
+    selected, _ = _descend(row, column, value, above, len(used), steps, l1 / np.sqrt(len(above)), 0.0)
     chosen = np.flatnonzero(selected)
-    place = np.full(len(used), -1)
+    place = np.full(len(used), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     known = place[column] >= 0
     fitted, thresholds = _descend(row[known], place[column[known]], value[known], above, len(chosen), steps, 0.0, 1e-5)
