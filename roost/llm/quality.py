@@ -203,11 +203,15 @@ def grade_documents(
     ).drop("__graded")
 
 
-def rated_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def rated_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``text``, ``grade`` of labelled documents: one point for quality, one for not being toxic (0, 1 or 2).
 
-    A null label counts as unknown and leaves the row out; several labels of one document: the lowest.
+    A null label counts as unknown and leaves the row out; several labels of one document: the lowest. Of more than
+    ``sample`` labelled documents a share picked by a hash of the id is joined, so the rating side is bounded
+    and broadcast, and no text is shuffled.
     """
     grade = (F.col("quality") + 1 - F.col("toxic")).alias("grade")
     rating = labels.select("doc_id", grade).filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    return docs.select("doc_id", "text").join(rating, "doc_id").select("text", "grade")
+    share = min(1.0, sample / max(1, rating.count()))
+    picked = rating.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
