@@ -28,17 +28,25 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_POWERS[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long) of every whole text; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """``doc_id``, ``fp`` (64 bits as a signed long), ``fp2`` of every whole text; null text counts as empty.
+
+    ``fp2`` holds 64 more bits from the same shingles, hashed once more, when ``wide``; else it is zero.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(lowered_words(t), shingle_words)) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-            )
+            pairs = np.zeros((len(batch), 2), np.uint64)
+            for row, text in enumerate(text_bytes(batch.column(1))):
+                hashes = shingle_hashes(lowered_words(text), shingle_words)
+                pairs[row, 0] = fingerprint(hashes)
+                if wide:
+                    again = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                    pairs[row, 1] = fingerprint(again ^ (again >> np.uint64(29)))
+            columns = [pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long, fp2 long")
 
 
 def _segment_counts(fp: Column, segments: int) -> Column:
@@ -49,7 +57,7 @@ def _segment_counts(fp: Column, segments: int) -> Column:
     for k in range(segments):
         part = F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit(mask).cast("long"))
         key = key * 65 + F.bit_count(part)
-    return key.cast("int")
+    return key
 
 
 def _steps(segments: int, radius: int) -> list[int]:
@@ -66,29 +74,30 @@ def _steps(segments: int, radius: int) -> list[int]:
 
 
 def close_pairs_as_stars(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of two tiles (of one with itself when ``right`` is None), each node to its component's first node."""
-    both = left if right is None else np.concatenate([left, right])
-    shift = 0 if right is None else len(left)
-    a_all, b_all = [], []
+    """Links of two tiles (of one with itself when ``right`` is None), each row to its component's first row.
+
+    A tile has a row of 64-bit words per fingerprint; rows are numbered through both tiles.
+    """
+    other = left if right is None else right
+    total, shift = (len(left), 0) if right is None else (len(left) + len(right), len(left))
+    a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for low in range(0, len(left), STRIP):
-        near = np.bitwise_count(left[low : low + STRIP, None] ^ (left if right is None else right)[None, :]) <= radius
-        a, b = np.nonzero(near)
+        apart = sum(np.bitwise_count(left[low : low + STRIP, None, word] ^ other[None, :, word]) for word in range(left.shape[1]))
+        a, b = np.nonzero(apart <= radius)
         a, b = a + low, b + shift
-        apart = a != b
-        if apart.any():
-            roots = local_roots(a[apart], b[apart], len(both))
-            moved = np.nonzero(roots != np.arange(len(both)))[0]
+        real = a != b
+        if real.any():
+            roots = local_roots(a[real], b[real], total)
+            moved = np.flatnonzero(roots != np.arange(total))
             a_all.append(moved)
             b_all.append(roots[moved])
-    if not a_all:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    roots = local_roots(np.concatenate(a_all), np.concatenate(b_all), len(both))
-    moved = np.nonzero(roots != np.arange(len(both)))[0]
-    return both[moved], both[roots[moved]]
+    roots = local_roots(np.concatenate(a_all), np.concatenate(b_all), total)
+    moved = np.flatnonzero(roots != np.arange(total))
+    return moved, roots[moved]
 
 
 def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints ``fp`` that differ in ``radius`` bits or fewer.
+    """Links ``a``, ``b`` between the ``node`` of distinct fingerprints (``fp``, ``fp2``) ``radius`` bits apart or less.
 
     Fingerprints are dealt into tiles of about 4,096 by population count (for a small radius by the
     counts of four 16-bit segments), so a crowded count makes more tiles, not a larger one. Tile pairs
@@ -97,16 +106,17 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
     components, and a dense group of m fingerprints gives m rows for each tile pair it touches.
     """
     segments = 4 if radius <= 3 else 1
-    keyed = distinct.select("fp", _segment_counts(F.col("fp"), segments).alias("key"))
+    key = _segment_counts(F.col("fp"), segments) + (F.bit_count("fp2") if segments == 1 else 0)
+    keyed = distinct.select("node", F.array("fp", "fp2").alias("fps"), key.cast("int").alias("key"))
     crowd = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
     tiles = stage(
         keyed.join(crowd, "key")
-        .groupBy("key", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("tile"))
-        .agg(F.collect_list("fp").alias("fps")),
+        .groupBy("key", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("tile"))
+        .agg(F.collect_list(F.struct("node", "fps")).alias("fps")),
         "tiles",
     )
     steps = F.array(*[F.lit(s) for s in _steps(segments, radius)])
-    # keys that exist: at most 65 for one segment, 17 to the 4th power for four
+    # keys that exist: at most 129 for one segment, 17 to the 4th power for four
     reach = tiles.select("key", "tile", F.explode(steps).alias("step")).withColumn("other", F.col("key") + F.col("step"))
     near = tiles.select(F.col("key").alias("other"), F.col("tile").alias("other_tile"))
     pairs = reach.join(near, "other").filter("step > 0 or tile <= other_tile").select("key", "tile", "other", "other_tile")
@@ -119,10 +129,13 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             same = [k and s == t for k, s, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             for row, one_tile in enumerate(same):
-                a, b = (np.asarray(batch.column(c)[row].values, np.int64).view(np.uint64) for c in (3, 4))
-                u, v = close_pairs_as_stars(a, None if one_tile else b, radius)
+                sides = [batch.column(c)[row].values for c in ((3,) if one_tile else (3, 4))]
+                words = [np.asarray(side.field("fps").flatten(), np.int64).view(np.uint64).reshape(-1, 2) for side in sides]
+                used = 2 if any(w[:, 1].any() for w in words) else 1
+                u, v = close_pairs_as_stars(words[0][:, :used], None if one_tile else words[1][:, :used], radius)
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
+                    nodes = np.concatenate([side.field("node").to_numpy() for side in sides])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["a", "b"])
 
     slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return work.repartition(slots).mapInArrow(compare, "a long, b long")
@@ -140,7 +153,7 @@ def simhash_groups(
     """
     prints = stage(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(link_fingerprints(nodes, radius))
+    roots = components(link_fingerprints(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("fp2")), radius))
     reached = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     smallest = reached.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.join(reached.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -150,26 +163,30 @@ def near_duplicate_documents(
     docs: DataFrame,
     shingle_words: int = 5,
     similarity: float = 0.8,
-    radius: int = 14,
+    radius: int = 28,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``component_id`` of near-duplicate documents: SimHash proposes, exact Jaccard decides.
 
-    Fingerprints of ``shingle_words``-word shingles within ``radius`` bits propose groups; inside a group
-    two documents link when the Jaccard similarity of their shingle sets reaches ``similarity``. At 0.8 the
-    expected distance is 9.7 bits with a standard deviation of 2.9, so 14 bits finds about 19 of 20
-    pairs at exactly 0.8 and nearly all closer ones. Texts without a word form one group. Rows: one per id that
+    Fingerprints of 128 bits over ``shingle_words``-word shingles propose groups within ``radius`` bits; inside a group two
+    documents link when the Jaccard similarity of their shingle sets reaches ``similarity``. At 0.8 the expected
+    distance is 19 bits with a standard deviation of 4, so 28 bits find about 49 of 50 pairs at exactly 0.8 and
+    nearly all closer ones, while one in ten billion unrelated pairs is proposed: with 64 bits it would be one in
+    250,000, and their chains would join everything. Texts without a word form one group. Rows: one per id that
     was proposed (component_id: the smallest id reachable, itself included); ids that are not listed are alone. Null ids take no part; rows
     that repeat an id count as one document.
     """
     docs = docs.filter(F.col(id_col).isNotNull())
-    prints = stage(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "distinct-fingerprints")
-    proposed = components(link_fingerprints(nodes, radius)).select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
-    alone = nodes.filter("copies > 1").join(proposed, "fp", "left_anti").select("fp", F.col("fp").alias("cluster"))
-    clusters = stage(proposed.unionByName(alone), "simhash-clusters")
-    wanted = prints.join(clusters, "fp").select(F.col("doc_id").alias("wanted_id"), "cluster").distinct()
+    prints = stage(fingerprints(docs, shingle_words, id_col, text_col, wide=True), "fingerprints")
+    nodes = stage(prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "distinct-fingerprints")
+    proposed = components(link_fingerprints(nodes, radius)).withColumnRenamed("component", "cluster")
+    clusters = stage(
+        nodes.join(proposed, "node", "left").filter("cluster is not null or copies > 1")
+        .select("fp", "fp2", F.coalesce("cluster", "node").alias("cluster")),
+        "simhash-clusters",
+    )
+    wanted = prints.join(clusters, ["fp", "fp2"]).select(F.col("doc_id").alias("wanted_id"), "cluster").distinct()
     texts = docs.select(F.col(id_col).alias("wanted_id"), F.col(text_col).alias("text")).join(wanted, "wanted_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
