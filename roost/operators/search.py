@@ -47,6 +47,7 @@ class PlanProfile:
     hints: bool
     signals: bool
     floors: bool
+    max_cap: int
 
     @property
     def small(self) -> bool:
@@ -72,6 +73,7 @@ def profile_tasks(tasks: DataFrame) -> PlanProfile:
         some(F.size(q("location_hints")) > 0).alias("hints"),
         some(wants).alias("signals"),
         some(flt.has_floor_filters()).alias("floors"),
+        F.coalesce(F.max("cap"), F.lit(1)).cast("int").alias("max_cap"),
     ).first()
     return PlanProfile(**row.asDict())
 
@@ -258,7 +260,7 @@ def _pick_per_task(scored: DataFrame, live: DataFrame, stats: DataFrame, profile
     on a bounded number of rows.
     """
     ranked = top_per_group(
-        scored, [*TASK, "floor_pass"], listing_order(), F.col("cap"), rules.MAX_RESULTS, "task_rank"
+        scored, [*TASK, "floor_pass"], listing_order(), F.col("cap"), profile.max_cap, "task_rank"
     )
     if not profile.floors:
         return ranked
@@ -292,7 +294,7 @@ def _final_rank(collapsed: DataFrame, profile: PlanProfile) -> DataFrame:
     order = [*listing_order(), F.col("arrival")]
     several = F.col("n_places") > 1
     rows = rows.withColumn("place_rank", F.row_number().over(Window.partitionBy(RUN, "loc_pos").orderBy(*order)))
-    slot = F.when(several & (F.col("place_rank") == 1), F.col("loc_pos")).otherwise(F.lit(rules.MAX_LOCATIONS))
+    slot = F.when(several & (F.col("place_rank") == 1), F.col("loc_pos")).otherwise(F.col("n_places"))
     ranked = rows.withColumn(
         "result_rank", F.row_number().over(Window.partitionBy(RUN).orderBy(slot, *order))
     ).filter(F.col("result_rank") <= F.col("cap_total"))

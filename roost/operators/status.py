@@ -77,7 +77,7 @@ def public_diagnostics(coverage: DataFrame) -> DataFrame:
 def merge_status(portals: DataFrame, status: DataFrame) -> DataFrame:
     """Portal list with the latest state by link; a portal without one keeps its own."""
     latest = status.select("portal_url", F.col("state").alias("_state"), F.col("returned_count").alias("_count"))
-    return portals.join(F.broadcast(latest), "portal_url", "left").select(
+    return portals.join(latest, "portal_url", "left").select(
         *[c for c in portals.columns if c not in ("state", "returned_count")],
         F.coalesce("_state", "state").alias("state"),
         F.coalesce("_count", "returned_count").alias("returned_count"),

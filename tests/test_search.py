@@ -195,3 +195,22 @@ def test_search_plan_has_no_python_and_no_cross_join(spark):
     top = top_per_group(matched, ["search_id", "loc_pos", "src_pos"], listing_order(), F.col("cap"), 200, "r")
     text = top._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
+
+
+def test_asked_limits_above_200_lose_no_row(spark):
+    rows = table(spark, [listing(f"k{i:03d}", title=f"Word{i} other{i} third{i}", price_eur=100000.0 + 500 * i) for i in range(400)])
+    out = run_search(requests(spark, dict(search_id="a", operation="buy", property_types=["flat"], city="Valencia", sources=["pisos"],
+                                          strict_constraints=True, per_location_limit=300, max_results_total=300)), rows)
+    assert out.results.count() == 300
+
+
+def test_seventh_place_keeps_its_slot(spark):
+    places = ["Aaa", "Bbb", "Ccc", "Ddd", "Eee", "Fff", "Ggg"]
+    rows = table(spark, [
+        listing(f"{p}{n}", title=f"{p}word{n} {p}x{n} {p}y{n}", city=p, crawl_location=p, price_eur=100000.0 + 1000 * k + 50000 * (n == 0) * (k == 6))
+        for k, p in enumerate(places) for n in range(3)
+    ])
+    out = run_search(requests(spark, dict(search_id="a", operation="buy", property_types=["flat"], locations=places, sources=["pisos"],
+                                          strict_constraints=True, per_location_limit=10, max_results_total=21)), rows)
+    first = [r.canonical_id[:3] for r in out.results.orderBy("result_rank").collect()][:7]
+    assert sorted(first) == places
