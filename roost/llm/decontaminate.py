@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,9 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roost.llm.common import stage
+
 BLOCK = 64
 #: Item text of one index, on average; more items make more indexes, each held against all passages in turn.
 INDEX_BYTES = 8 << 20
+#: Upper bounds (term of a passage x block) held at a time.
+GROUP_CELLS = 1 << 18
 K1, LENGTH_SHARE = 1.2, 0.75
 SHINGLE = 5
 
@@ -92,13 +97,40 @@ def build_index(items: list[tuple[int, list[bytes], list[bytes]]], idf: dict[byt
     return index
 
 
-def _block_scores(index: Index, block: int, terms: np.ndarray) -> np.ndarray:
+def _block_scores(index: Index, block: int, owner: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    """Exact scores of ``n`` passages (rows) against the items of a block; ``owner`` is the passage of each term."""
     known, start, place, impact = index.blocks[block]
     at = np.searchsorted(known, terms)
-    at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms)]
+    held = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms)
+    at, owner = at[held], owner[held]
     lengths = start[at + 1] - start[at]
     rows = np.repeat(start[at] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-    return np.bincount(place[rows], weights=impact[rows], minlength=BLOCK)
+    return np.bincount(np.repeat(owner, lengths) * BLOCK + place[rows], weights=impact[rows], minlength=n * BLOCK).reshape(n, BLOCK)
+
+
+def _candidates(passage: np.ndarray, terms: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """Passage number, item place and score of all that reach ``threshold``, from the sorted distinct (passage, term) pairs.
+
+    Passages are taken in groups of about ``GROUP_CELLS`` bounds, so memory does not grow with text or index.
+    """
+    cuts = np.flatnonzero(np.diff(passage, prepend=-1))
+    ends = np.append(cuts[1:], len(passage))
+    hopeful = np.flatnonzero(np.add.reduceat(index.top[terms], cuts) >= threshold)
+    sizes = ends[hopeful] - cuts[hopeful]
+    group = np.cumsum(sizes) * index.block_top.shape[1] // GROUP_CELLS
+    for own in np.split(hopeful, np.flatnonzero(np.diff(group)) + 1) if len(hopeful) else ():
+        n_terms = ends[own] - cuts[own]
+        low = np.concatenate(([0], np.cumsum(n_terms)[:-1]))
+        here = terms[np.repeat(cuts[own] - low, n_terms) + np.arange(n_terms.sum())]
+        bounds = np.add.reduceat(index.block_top[here], low, axis=0) >= threshold
+        for block in np.flatnonzero(bounds.any(axis=0)).tolist():
+            chosen = np.flatnonzero(bounds[:, block])
+            rank = np.full(len(own), -1, np.int64)
+            rank[chosen] = np.arange(len(chosen))
+            owner = np.repeat(rank, n_terms)
+            scores = _block_scores(index, block, owner[owner >= 0], here[owner >= 0], len(chosen))
+            for k, place in zip(*np.nonzero(scores >= threshold), strict=True):
+                yield int(passage[cuts[own[chosen[k]]]]), block * BLOCK + int(place), float(scores[k, place])
 
 
 def _share(wanted: np.ndarray, ids: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -126,32 +158,25 @@ def leaks_of(ids: np.ndarray, index: Index, window: int, threshold: float, overl
     passage = np.concatenate([at // stride, at // stride - 1])
     codes = np.unique((passage * len(index.top) + np.tile(ids[at], 2))[(passage >= 0) & (passage <= last)])
     passage, terms = np.divmod(codes, len(index.top))
-    cuts = np.flatnonzero(np.diff(passage, prepend=-1))
-    hopeful = np.flatnonzero(np.add.reduceat(index.top[terms], cuts) >= threshold)
-    ends = np.append(cuts[1:], len(codes))
-    for k in hopeful.tolist():
-        own = terms[cuts[k] : ends[k]]
-        for block in np.flatnonzero(index.block_top[own].sum(axis=0) >= threshold).tolist():
-            scores = _block_scores(index, block, own)
-            for place in np.flatnonzero(scores >= threshold).tolist():
-                item, low = block * BLOCK + place, int(passage[cuts[k]]) * stride
-                text = ids[low : low + window]
-                question, answer = index.questions[item], index.answers[item]
-                n_q, hit_q, at_q = _share(question, text)
-                if hit_q < overlap * n_q / 2:
-                    continue
-                n_a, hit_a, at_a = _share(answer, text)
-                n_all, hit_all, at_all = _share(np.concatenate([question, answer]), text)
-                near = text[at_all.min() : at_all.max() + SHINGLE] if len(at_all) else text[:0]
-                if hit_all < overlap * n_all or len(answer) and np.isin(answer, near).mean() < answer_words:
-                    continue
-                spot = np.concatenate([at_q, at_a, at_all])
-                row = (
-                    float(scores[place]), hit_q / n_q if n_q else 1.0, hit_a / n_a if n_a else 1.0,
-                    low + int(at_all.min()), low + int(min(at_all.max() + SHINGLE, len(text))) - 1,
-                )
-                if len(spot) and (item not in found or row[:3] > found[item][:3]):
-                    found[item] = row
+    for number, item, score in _candidates(passage, terms, index, threshold):
+        low = number * stride
+        text = ids[low : low + window]
+        question, answer = index.questions[item], index.answers[item]
+        n_q, hit_q, at_q = _share(question, text)
+        if hit_q < overlap * n_q / 2:
+            continue
+        n_a, hit_a, at_a = _share(answer, text)
+        n_all, hit_all, at_all = _share(np.concatenate([question, answer]), text)
+        near = text[at_all.min() : at_all.max() + SHINGLE] if len(at_all) else text[:0]
+        if hit_all < overlap * n_all or len(answer) and np.isin(answer, near).mean() < answer_words:
+            continue
+        spot = np.concatenate([at_q, at_a, at_all])
+        row = (
+            score, hit_q / n_q if n_q else 1.0, hit_a / n_a if n_a else 1.0,
+            low + int(at_all.min()), low + int(min(at_all.max() + SHINGLE, len(text))) - 1,
+        )
+        if len(spot) and (item not in found or row[:3] > found[item][:3]):
+            found[item] = row
     return found
 
 
@@ -176,7 +201,8 @@ def with_leaks(
     spark = docs.sparkSession
     tokens = F.udf(lambda t: [w.decode("utf-8") for w in words(t)], "array<string>")
     parts = items.select(F.col("item_id").cast("long").alias("item_id"), tokens("question").alias("q"), tokens("answer").alias("a"))
-    parts = parts.filter(F.size("q") + F.size("a") > 0)
+    # cut into words once: each later pass would start Python workers of its own
+    parts = stage(parts, "benchmark-items").filter(F.size("q") + F.size("a") > 0)
     n_items, n_words, n_bytes = parts.agg(
         F.count("*"), F.sum(F.size("q") + F.size("a")), F.sum(F.length(F.array_join("q", " ")) + F.length(F.array_join("a", " ")))
     ).first()
