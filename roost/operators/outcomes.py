@@ -222,7 +222,7 @@ def _warning() -> Column:
 
 
 def outcome_rollup(outcomes: DataFrame) -> DataFrame:
-    """One row per (portal, place) in ``schema.OUTCOME``.
+    """One row per (portal, place) in ``schema.OUTCOME``; spellings of a place with one normalised text are one place.
 
     Only pages within the request cap are gathered, so a group holds at most nine rows.
     """
@@ -231,7 +231,8 @@ def outcome_rollup(outcomes: DataFrame) -> DataFrame:
         lambda _, p: F.col("page_class").isin(list(p.fail_fast)) if p.fail_fast else F.lit(False), F.lit(False)
     )
     first_page_only = (F.col("portal") != "fotocasa") | (F.col("page_no") == 1)
-    agg = outcomes.groupBy("portal", "crawl_location").agg(
+    agg = outcomes.groupBy("portal", normalize_text(F.col("crawl_location")).alias("location_key")).agg(
+        F.min("crawl_location").alias("crawl_location"),
         F.count("*").alias("n"),
         F.count_if(blocked).alias("n_blocked"),
         F.count_if(F.col("page_class") == "rate_limited").alias("n_rate"),
@@ -286,7 +287,7 @@ def outcome_rollup(outcomes: DataFrame) -> DataFrame:
     return agg.select(
         "portal",
         "crawl_location",
-        normalize_text(F.col("crawl_location")).alias("location_key"),
+        "location_key",
         F.lit("scrape").alias("source_kind"),
         F.concat(texts, empty_note).alias("warnings"),
         code.alias("error_code"),

@@ -265,3 +265,14 @@ def test_adapter_caps_and_city_filter(spark):
     valencia = {r.portal_listing_id for r in rows if r.crawl_location == "Valencia"}
     assert valencia == {str(i) for i in range(1, 21)} and all(r.broadened for r in rows if r.crawl_location == "Valencia")
     assert [r.portal_listing_id for r in rows if r.crawl_location == "Ronda"] == ["3"]
+
+
+def test_two_spellings_are_one_place(spark):
+    rows = [
+        ("pisos", "València", 1, "ok", 2, None, None),
+        ("pisos", "Valencia", 2, "ok", 3, None, None),
+        ("pisos", "Madrid", 1, "ok", 1, None, None),
+    ]
+    columns = "portal string, crawl_location string, page_no int, page_class string, n_listings long, warning string, challenge_id string"
+    out = outcome_rollup(spark.createDataFrame(rows, columns)).collect()
+    assert sorted((r.location_key, r.crawl_location, r.n_listings) for r in out) == [("madrid", "Madrid", 1), ("valencia", "Valencia", 5)]
