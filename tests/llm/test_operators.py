@@ -119,6 +119,13 @@ def test_near_duplicate_documents_by_exact_jaccard(docs, empty):
     assert simhash.near_duplicate_documents(empty).count() == 0 and simhash.simhash_groups(empty).count() == 0
 
 
+def test_near_duplicates_that_repeat_a_line_more_often(spark):
+    line = prose(12, 31)
+    rows = [(2 * i + far, prose(200, 300 + i) + ("\n" + line) * (20 if far else 1), None) for i in range(12) for far in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_documents(table(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d in range(24)}
+
+
 def test_packing_round_trip_and_ids(docs, empty):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack_documents(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), 256).toPandas()
