@@ -234,6 +234,16 @@ def test_suffix_passages_equal_brute_force(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_suffix_passages_around_a_frequent_line(spark):
+    lines = [prose(25, 600 + k) for k in range(10)]
+    rows = [(0, "\n".join(prose(30, 650 + k) + "\n" + line for k, line in enumerate(lines)), None)]
+    for pair in range(40):
+        passage = prose(25, 700 + pair) + "\n" + lines[pair % 10] + "\n" + prose(25, 800 + pair)
+        rows += [(d, prose(20, 900 + d) + "\n" + passage + "\n" + prose(20, 1100 + d), None) for d in (1 + pair, 101 + pair)]
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.first_doc_id) for r in suffixes.repeated_passages(table(spark, rows)).collect())
+    assert got == [(101 + pair, 20, 75, 1 + pair) for pair in range(40)]
+
+
 def test_minimisers_cover_every_window():
     keys = np.random.default_rng(0).integers(0, 1 << 60, 3000).astype(np.uint64)
     keys[1000:2000] = 7
