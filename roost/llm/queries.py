@@ -114,8 +114,8 @@ def op7_language_id(spark, sf_dir):
 
 @query
 def op8_substring_dedup(spark, sf_dir):
-    """Stretches of repeated paragraphs of all documents, with the documents that keep the text."""
-    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+    """Stretches of repeated paragraphs and passages of all documents, with the documents that keep the text."""
+    return paragraphs.repeated_stretches(read_table(spark, sf_dir, "documents"))
 
 
 @query

@@ -304,6 +304,19 @@ def test_repeated_paragraphs(docs, empty):
     assert paragraphs.repeated_paragraphs(empty).count() == 0
 
 
+def test_repeated_stretches_wherever_lines_break(spark, docs, empty):
+    words = PASSAGE.split(" ")
+    wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, 60, 9))
+    rows = docs.filter("doc_id is not null").unionByName(table(spark, [(20, prose(30, 21) + "\n" + wrapped + " " + prose(30, 22), None)]))
+    stretches = paragraphs.repeated_stretches(rows)
+    got = {(r.doc_id, r.n_words): r.first_doc_ids for r in stretches.collect()}
+    assert {d for d, _ in got} == {1, 2, 5, 6, 13, 20} and all(got[(d, 60)] == [4] for d in (5, 6, 13, 20))
+    shorter = {r.doc_id: r.text for r in paragraphs.without_stretches(rows, stretches).collect()}
+    assert shorter[13].split() == (prose(20, 9) + " " + prose(25, 10)).split() and shorter[5] == prose(30, 6)
+    assert shorter[20] == prose(30, 21) + "\n " + prose(30, 22) and 1 not in shorter and shorter[4] == TEXTS[4]
+    assert paragraphs.repeated_stretches(empty).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraphs.tune_bands(0.8, 0.995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and rows >= 4
