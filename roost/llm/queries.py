@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts
+from roost.llm import (
+    decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts, toxicity,
+)
 from roost.llm.common import read_table, stage
 from roost.sources.staging import checkpoint_dir
 
@@ -130,3 +132,12 @@ def op10_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(quality.rated_documents(docs, read_table(spark, sf_dir, "labels")))
     return quality.grade_documents(docs, model, least_grade=2).select("doc_id", "expected_grade", "tail_prob", "keep")
+
+
+@query
+def op13_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from labelled documents that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.is_held_out(F.col("doc_id")))
+    scored = toxicity.score_documents(docs, toxicity.fit(toxicity.labelled_documents(docs, labels)))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
