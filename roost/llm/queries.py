@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roost.llm import (
-    decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts, toxicity,
+    decontaminate, langid, licenses, negatives, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts, toxicity,
 )
 from roost.llm.common import read_table, stage
 from roost.sources.staging import checkpoint_dir
@@ -134,6 +134,29 @@ def op10_quality(spark, sf_dir):
     return quality.grade_documents(docs, model, least_grade=2).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth embedding; the label of every seventh is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(read_table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+    WITH r AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+          FROM r a JOIN r b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS i FROM s WHERE same) WHERE i <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.a, p.i ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+          FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
 @query
 def op13_toxicity(spark, sf_dir):
     """Toxicity of every document, learned from labelled documents that are not held out."""
