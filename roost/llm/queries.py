@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roost.llm import (
-    decontaminate, langid, licenses, negatives, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts, toxicity,
+    collocations, decontaminate, langid, licenses, negatives, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts, toxicity,
 )
 from roost.llm.common import read_table, stage
 from roost.sources.staging import checkpoint_dir
@@ -157,6 +157,36 @@ ORACLES["op11_hard_negatives"] = """
     SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    """The 2,000 firmest phrases of two to four words of every language."""
+    best = collocations.collocations(read_table(spark, sf_dir, "documents"))
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLES["op12_collocations"] = """
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+               FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+    w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS s FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+    m AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    c AS (SELECT lang, k, phrase, a, w, unnest(generate_series(1, k - 1)) AS cut FROM m),
+    sc AS (SELECT c.lang, c.phrase, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+           FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+                  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+    lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM sc) WHERE i = 1),
+    u AS (SELECT lang, k, a, w, unnest(generate_series(2, k - 1)) AS len FROM m WHERE k > 2),
+    v AS (SELECT lang, a, w, len, unnest(generate_series(1, k - len + 1)) AS s FROM u),
+    cover AS (SELECT lang, array_to_string(w[s:s + len - 1], ' ') AS phrase, max(a) AS b FROM v GROUP BY ALL),
+    kept AS (SELECT m.lang, m.phrase, m.a, lo.l, lo.r, lo.score FROM m JOIN lo USING (lang, phrase) LEFT JOIN cover USING (lang, phrase)
+             WHERE b IS NULL OR 100 * b < 80 * m.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 @query
 def op13_toxicity(spark, sf_dir):
     """Toxicity of every document, learned from labelled documents that are not held out."""
