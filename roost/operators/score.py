@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,85 +79,92 @@ def light_intent() -> Column:
     return F.arrays_overlap(wanted, F.array(*[F.lit(t) for t in rules.LIGHT_TAGS]))
 
 
-def with_score(candidates: DataFrame, open_floor: bool = False) -> DataFrame:
-    """Add ``score`` (0..100) and ``why_matched``.
+def score_rules(
+    city: Column, tags: Column, hints: Column, images: Column, signal: Callable[[str], Column]
+) -> list[tuple[str, Column, Column | int, Column | str | None]]:
+    """(name, condition, points, reason or None) of every rule, in the order the reasons are listed.
 
-    With ``open_floor`` also ``score_open`` and ``why_open``: the same without the floor
-    bound, for searches whose floor rules get relaxed.
+    The arguments stand for what is not a plain number of the listing: matched tags and hints, and text signals by name.
+    With the most they can be, the sum is an upper bound of the score, with the least a lower one.
     """
-    base = candidates.withColumns(
-        {
-            "_city": flt.has_city() & flt.city_match(),
-            "_tags": matched_tags(),
-            "_hints": matched_hints(),
-            "_light": F.coalesce(light_intent(), F.lit(False)),
-        }
-    )
-    city, tags, hints, light = F.col("_city"), F.col("_tags"), F.col("_hints"), F.col("_light")
+    light = F.coalesce(light_intent(), F.lit(False))
     floor = F.col("floor_no")
     price_known = _non_zero(_q("max_price_eur")) & _non_zero(F.col("price_eur"))
     ratio = F.lit(1) - F.col("price_eur") / _q("max_price_eur")
     room_delta = F.col("rooms") - _q("min_rooms")
     rooms_hit = _non_zero(_q("min_rooms")) & _non_zero(F.col("rooms")) & F.coalesce(room_delta >= 0, F.lit(False))
     capacity_hit = _q("min_capacity_people").isNotNull() & F.col("capacity_people").isNotNull()
-    floor_hit = F.coalesce(floor >= _q("min_floor"), F.lit(False))
     high = light & F.coalesce(floor >= 5, F.lit(False))
     floor_text = floor.cast("string")
-
-    # (condition, points, reason or None), in the order the reasons are listed
-    parts: list[tuple[Column, Column | int, Column | str | None]] = [
-        (city, 20, "City exact match"),
-        (~city & flt.has_city() & flt.nearby(), 8, "Nearby towns accepted"),
-        (price_known, F.greatest(F.lit(0), F.least(F.lit(15), round_half_up(ratio * 15))), "Within budget"),
-        (rooms_hit, F.least(F.lit(10.0), room_delta * 2 + 4), "Rooms requirement satisfied"),
-        (capacity_hit, 8, "Capacity requirement satisfied"),
-        (F.size(tags) > 0, F.size(tags) * 4, F.concat(F.lit("Tag matches: "), F.array_join(tags, ", "))),
-        (
-            F.size(hints) > 0,
-            F.least(F.lit(12), F.size(hints) * 5),
-            F.concat(F.lit("Location hint match: "), F.array_join(F.slice(hints, 1, 3), ", ")),
-        ),
-        (F.lit(True), F.least(F.lit(4), F.floor(F.coalesce(F.size("image_urls"), F.lit(0)) / 2)), None),
+    exterior = F.coalesce(_q("prefer_exterior"), F.lit(False))
+    renovation = F.coalesce(_q("renovation_ok"), F.lit(False))
+    hint_text = F.concat(F.lit("Location hint match: "), F.array_join(F.slice(hints, 1, 3), ", "))
+    return [
+        ("city", city, 20, "City exact match"),
+        ("nearby", ~city & flt.has_city() & flt.nearby(), 8, "Nearby towns accepted"),
+        ("price", price_known, F.greatest(F.lit(0), F.least(F.lit(15), round_half_up(ratio * 15))), "Within budget"),
+        ("rooms", rooms_hit, F.least(F.lit(10.0), room_delta * 2 + 4), "Rooms requirement satisfied"),
+        ("capacity", capacity_hit, 8, "Capacity requirement satisfied"),
+        ("tags", F.size(tags) > 0, F.size(tags) * 4, F.concat(F.lit("Tag matches: "), F.array_join(tags, ", "))),
+        ("hints", F.size(hints) > 0, F.least(F.lit(12), F.size(hints) * 5), hint_text),
+        ("images", F.lit(True), F.least(F.lit(4), F.floor(F.coalesce(images, F.lit(0)) / 2)), None),
         (
+            "room_count",
             _q("min_rooms").isNull() & F.col("rooms").isNotNull(),
             F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.col("rooms") - 2)),
             None,
         ),
-        (high, 6, F.concat(F.lit("High floor ("), floor_text, F.lit("ª) supports natural light"))),
-        (light & F.col("exterior_text"), 6, "Exterior layout mention"),
-        (light & F.col("light_text"), 5, "Natural light / bright description"),
-        (light & F.col("window_text"), 4, "Large windows mention"),
-        (light & F.col("orientation_text"), 4, "Orientation signal present"),
+        ("high", high, 6, F.concat(F.lit("High floor ("), floor_text, F.lit("ª) supports natural light"))),
+        ("light_exterior", light & signal("exterior_text"), 6, "Exterior layout mention"),
+        ("light", light & signal("light_text"), 5, "Natural light / bright description"),
+        ("windows", light & signal("window_text"), 4, "Large windows mention"),
+        ("orientation", light & signal("orientation_text"), 4, "Orientation signal present"),
+        ("exterior", exterior & signal("exterior_text"), 5, "Exterior preference satisfied"),
         (
-            F.coalesce(_q("prefer_exterior"), F.lit(False)) & F.col("exterior_text"),
-            5,
-            "Exterior preference satisfied",
-        ),
-        (floor_hit, 2, F.concat(F.lit("Floor requirement satisfied ("), floor_text, F.lit("ª)"))),
-        (
-            F.coalesce(_q("renovation_ok"), F.lit(False)) & F.col("renovation_text"),
-            3,
-            "Renovation-friendly description",
+            "floor",
+            F.coalesce(floor >= _q("min_floor"), F.lit(False)),
+            2,
+            F.concat(F.lit("Floor requirement satisfied ("), floor_text, F.lit("ª)")),
         ),
+        ("renovation", renovation & signal("renovation_text"), 3, "Renovation-friendly description"),
     ]
 
-    def points_of(rules_used: list) -> Column:
-        total: Column = F.lit(45.0)
-        for condition, points, _ in rules_used:
-            amount = points if isinstance(points, Column) else F.lit(points)
-            total = total + F.when(condition, amount.cast("double")).otherwise(F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).cast("int")
-
-    def reasons_of(rules_used: list) -> Column:
-        reasons = [
-            F.when(condition, reason if isinstance(reason, Column) else F.lit(reason))
-            for condition, _, reason in rules_used
-            if reason is not None
-        ]
-        return F.array_compact(F.array(*reasons))
 
+def points_of(rules_used: list) -> Column:
+    """Sum of the rules that hold, from 45, within 0..100."""
+    total: Column = F.lit(45.0)
+    for _, condition, points, _ in rules_used:
+        amount = points if isinstance(points, Column) else F.lit(points)
+        total = total + F.when(condition, amount.cast("double")).otherwise(F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)).cast("int")
+
+
+def reasons_of(rules_used: list) -> Column:
+    reasons = [
+        F.when(condition, reason if isinstance(reason, Column) else F.lit(reason))
+        for _, condition, _, reason in rules_used
+        if reason is not None
+    ]
+    return F.array_compact(F.array(*reasons))
+
+
+def with_score(candidates: DataFrame, open_floor: bool = False, images: Column | None = None, hints: Column | None = None) -> DataFrame:
+    """Add ``score`` (0..100) and ``why_matched``.
+
+    With ``open_floor`` also ``score_open`` and ``why_open``: the same without the floor
+    bound, for searches whose floor rules get relaxed. ``images`` and ``hints`` (matched ones) may be known already.
+    """
+    base = candidates.withColumns(
+        {
+            "_city": flt.has_city() & flt.city_match(),
+            "_tags": matched_tags(),
+            "_hints": matched_hints() if hints is None else hints,
+        }
+    )
+    images = F.size("image_urls") if images is None else images
+    parts = score_rules(F.col("_city"), F.col("_tags"), F.col("_hints"), images, F.col)
     added = {"score": points_of(parts), "why_matched": reasons_of(parts)}
     if open_floor:
-        without = [part for part in parts if part[0] is not floor_hit]
+        without = [part for part in parts if part[0] != "floor"]
         added |= {"score_open": points_of(without), "why_open": reasons_of(without)}
-    return base.withColumns(added).drop("_city", "_tags", "_hints", "_light")
+    return base.withColumns(added).drop("_city", "_tags", "_hints")

@@ -12,8 +12,8 @@ from roost.functions.text import normalize_text, unique_strings
 from roost.operators import filters as flt
 from roost.operators.dedupe import collapse_duplicates, first_by_key
 from roost.operators.rank import listing_order, top_per_group
-from roost.operators.score import PREPARED, prepare_listings, with_score
-from roost.plans.search_plan import criteria_for, plan_requests, plan_tasks
+from roost.operators.prune import ROW, SIGNALS, listing_facts, read_rows, score_survivors, surviving_rows, with_blocks
+from roost.plans.search_plan import criteria_for, plan_requests, plan_tasks, union_all
 from roost.sources.staging import stage
 
 BROADCAST_BYTES = 64 << 20
@@ -145,30 +145,14 @@ def match_listings(prepared: DataFrame, tasks: DataFrame, profile: PlanProfile,
     return out
 
 
-def listing_stats(prepared: DataFrame, tasks: DataFrame, profile: PlanProfile, scope: str) -> DataFrame:
+def listing_stats(facts: DataFrame) -> DataFrame:
     """Per (portal, place): listings stored, and how many of them name a floor.
 
     Pre-aggregated per task, so a hot place costs one row per task in the shuffle.
     """
-    counts = [F.count("*").alias("candidates"), F.count("floor_loose").alias("with_floor")]
-    light = prepared.select("canonical_id", "portal", "crawl_location", "city_norm", "path_lower", "floor_loose")
-    frames = []
-    if profile.located or not profile.discovery:
-        keyed = (
-            light.withColumn("location_key", normalize_text(F.col("crawl_location")))
-            if scope == "crawl"
-            else add_city_keys(light, profile.max_words, profile.max_slug)
-        )
-        keys = tasks.filter(~F.col("discovery")).select("portal", "location_key").distinct()
-        wanted = sized_join(keyed, keys, ["portal", "location_key"], profile.small)
-        frames.append(wanted.groupBy("portal", "location_key").agg(*counts))
-    if profile.discovery:
-        anywhere = light.withColumn("location_key", F.lit(rules.DISCOVERY))
-        frames.append(anywhere.groupBy("portal", "location_key").agg(*counts))
-    out = frames[0]
-    for other in frames[1:]:
-        out = out.unionByName(other)
-    return out
+    return facts.groupBy("portal", "location_key").agg(
+        F.count("*").alias("candidates"), F.count("floor_loose").alias("with_floor"), F.count("floor_no").alias("with_floor_no")
+    )
 
 
 def _shared_runs(requests: DataFrame) -> DataFrame:
@@ -216,14 +200,7 @@ def run_search(
         )
     live = tasks.filter("error_code IS NULL").drop("source_kind", "warnings", "error_code", "error_message")
 
-    prepared = prepare_listings(listings, text_signals=profile.signals, hints=profile.hints)
-    stats = stage(listing_stats(prepared, live, profile, scope), "stats")
-    matched = match_listings(prepared, live, profile, scope).filter(flt.base_ok())
-    scored = with_score(matched.withColumn("floor_pass", flt.floor_ok()), open_floor=profile.floors)
-    # only what is published or still decided on goes through the top-k sort
-    scored = scored.withColumn("locale", F.col("q.locale")).drop("q", "discovery", *PREPARED)
-    # all outputs read the picked rows: one pass over the listings, written once
-    picked = stage(_pick_per_task(scored, live, stats, profile), "picked")
+    picked, stats = pick_rows(listings, live, profile, scope)
 
     # everything below is keyed by run and holds at most 5 x 13 x 50 rows per run
     per_run = picked.repartition(RUN)
@@ -252,6 +229,31 @@ def run_search(
     )
 
 
+def pick_rows(listings: DataFrame, live: DataFrame, profile: PlanProfile, scope: str) -> tuple[DataFrame, DataFrame]:
+    """The first rows of every task with their scores, and the counts per place: both staged.
+
+    Numbers first: bounds of the score from a block index decide which listings a task can still pick; only their texts
+    are searched, and whole rows are joined to what the top-k leaves.
+    """
+    facts = listing_facts(listings)
+    keyed = []
+    if profile.located or not profile.discovery:
+        keyed.append(
+            facts.withColumn("location_key", normalize_text(F.col("crawl_location")))
+            if scope == "crawl"
+            else add_city_keys(facts, profile.max_words, profile.max_slug)
+        )
+    if profile.discovery:
+        keyed.append(facts.withColumn("location_key", F.lit(rules.DISCOVERY)))
+    facts = stage(with_blocks(union_all(keyed)), "facts")
+    stats = stage(listing_stats(facts), "stats")
+    survivors = surviving_rows(facts, live, stats, TASK, profile.max_cap, profile.small)
+    rows = read_rows(listings, survivors, live, TASK, profile.signals, profile.hints, BROADCAST_BYTES)
+    scored = score_survivors(survivors, rows, live, TASK, profile.small, profile.floors)
+    ranked = _pick_per_task(scored, live, stats, profile).drop(*[c for c in listings.columns if c not in (*ROW, "portal")])
+    return stage(ranked.drop("portal").join(rows.drop(*SIGNALS, "held_hints"), ROW), "picked"), stats
+
+
 def _pick_per_task(scored: DataFrame, live: DataFrame, stats: DataFrame, profile: PlanProfile) -> DataFrame:
     """Top rows of every (run, place, portal), with the floor rule relaxed where it must be.
 
