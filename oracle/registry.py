@@ -211,6 +211,9 @@ SELECT canonical_id, crawl_location, {URLS[portal]} AS url, ft AS title, {city}
   rooms, {kind} AS property_type, md5({described}) AS description_md5, {tags} AS tags FROM src {skipped}""",
     )
 
+# however deep a list lies, its listings are those of the flat page
+ORACLES["extract_nested_lists"] = ORACLES["extract_tucasa"]
+
 add(
     "adapter_caps", b.LISTING,
     f"""src AS (

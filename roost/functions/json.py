@@ -10,7 +10,6 @@ from roost.functions.text import all_matches, not_blank, trim_ws
 
 JSON_LD = r"""(?i)<script[^>]*type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""
 STRICT = {"allowSingleQuotes": "false"}
-MAX_DEPTH = 8
 NO_NODES = "array<struct<path:array<int>,text:string>>"
 
 
@@ -99,19 +98,31 @@ def _lists_at(nodes: Column) -> Column:
     return F.flatten(F.transform(nodes, entries))
 
 
-def with_item_list_elements(df: DataFrame, html: str, out: str, depth: int = MAX_DEPTH) -> DataFrame:
+def _most_levels(nodes: Column) -> Column:
+    """No node can lie deeper than there are opening brackets in its script."""
+    brackets = F.transform(nodes, lambda n: F.length(n["text"]) - F.length(F.translate(n["text"], "[{", "")))
+    return F.coalesce(F.array_max(brackets), F.lit(0))
+
+
+def with_item_list_elements(df: DataFrame, html: str, out: str) -> DataFrame:
     """Elements of every ``ItemList`` of the page's JSON-LD, at any nesting, in document order.
 
-    Nodes that do not mention a list are left out of the walk. A list below ``depth``
-    levels fails the row loudly instead of being lost.
+    The walk goes down level by level inside the page's row, over those nodes only that mention a list, until none is left:
+    a deep page costs its own levels and no other page any. Spark's JSON reader reads up to 1,000
+    levels; a script nested deeper than that is not JSON to it and holds no list.
     """
     scripts = F.filter(all_matches(F.col(html), JSON_LD), lambda t: F.try_parse_json(t).isNotNull())
     level = F.transform(scripts, lambda t, i: F.struct(F.array(i).alias("path"), t.alias("text")))
-    walked = df.withColumn("_node0", F.filter(level, lambda n: F.contains(n["text"], F.lit("ItemList"))))
-    for d in range(depth):
-        walked = walked.withColumn(f"_node{d + 1}", _child_nodes(F.col(f"_node{d}")))
-    found = F.concat(*[_lists_at(F.col(f"_node{d}")) for d in range(depth)])
-    checked = F.when(
-        F.size(f"_node{depth}") > 0, F.raise_error(F.lit(f"ItemList nested deeper than {depth} levels")).cast("array<string>")
-    ).otherwise(F.transform(F.array_sort(found), lambda x: x["text"]))
-    return walked.withColumn(out, checked).drop(*[f"_node{d}" for d in range(depth + 1)])
+    walked = df.withColumn("_top", F.filter(level, lambda n: F.contains(n["text"], F.lit("ItemList"))).cast(NO_NODES))
+    state = f"struct<nodes:{NO_NODES},found:{NO_NODES}>"
+
+    def step(at: Column, _: Column) -> Column:
+        below = F.struct(_child_nodes(at["nodes"]).alias("nodes"), F.concat(at["found"], _lists_at(at["nodes"])).alias("found"))
+        # once no node is left, the levels that the bound still allows cost nothing
+        return F.when(F.size(at["nodes"]) > 0, below.cast(state)).otherwise(at)
+
+    levels = F.least(F.lit(1000), _most_levels(F.col("_top")))
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.col("_top").alias("nodes"), F.array().cast(NO_NODES).alias("found")).cast(state)
+    found = F.aggregate(steps, start, step, lambda at: F.transform(F.array_sort(at["found"]), lambda x: x["text"]))
+    return walked.withColumn(out, found).drop("_top")

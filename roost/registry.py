@@ -20,7 +20,7 @@ from roost.operators.search import run_search
 from roost.plans.crawl_plan import best_suggestions, crawl_plan
 from roost.plans.search_plan import plan_requests, plan_tasks
 from roost.sources import views
-from roost.sources.page_views import PORTAL_LAYOUTS, portal_pages
+from roost.sources.page_views import PORTAL_LAYOUTS, nested_list_pages, portal_pages
 from roost.streaming.rate_limit import rate_limit_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,13 +161,16 @@ def cleaned_listings(spark, sf_dir):
 
 # -- extraction: one query per portal layout -----------------------------------------------
 
+def _extracted(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "canonical_id", "crawl_location", "url", "title", "city", "price_eur", "rooms", "property_type",
+        F.md5("description").alias("description_md5"), _line("tags"),
+    )
+
+
 def _extract(portal: str) -> Query:
     def run(spark, sf_dir):
-        rows = extract_listings(portal_pages(spark, sf_dir, portal), [portal])
-        return rows.select(
-            "canonical_id", "crawl_location", "url", "title", "city", "price_eur", "rooms", "property_type",
-            F.md5("description").alias("description_md5"), _line("tags"),
-        )
+        return _extracted(extract_listings(portal_pages(spark, sf_dir, portal), [portal]))
 
     run.__doc__ = f"Listings read back from stored {portal} pages."
     return run
@@ -177,6 +180,12 @@ for _portal in PORTAL_LAYOUTS:
     QUERIES[f"extract_{_portal}"] = _extract(_portal)
 
 
+@query
+def extract_nested_lists(spark, sf_dir):
+    """Listings read back from tucasa pages whose lists lie up to 25 levels deep, beside flat ones."""
+    return _extracted(extract_listings(nested_list_pages(spark, sf_dir), ["tucasa"]))
+
+
 @query
 def adapter_caps(spark, sf_dir):
     """What adapter calls keep of the stored pages: request cap, early stop, city filter, listing cap."""

@@ -127,4 +127,15 @@ def portal_pages(spark: SparkSession, sf_dir: str, portal: str) -> DataFrame:
     )
 
 
+def nested_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tucasa pages whose list lies 2 to 25 objects and arrays deep, by page and place."""
+    pages = portal_pages(spark, sf_dir, "tucasa")
+    wraps = F.pmod(F.col("page_no") + F.length("crawl_location"), F.lit(12))
+    head, _, tail = LAYOUTS["tucasa"]
+    opened = F.concat(F.lit(LD), F.repeat(F.lit('{"part":['), wraps), F.lit(head.removeprefix(LD)))
+    closed = F.concat(F.lit(tail.removesuffix("</script>")), F.repeat(F.lit("]}"), wraps), F.lit("</script>"))
+    inner = F.substr("html", F.lit(len(head) + 1), F.length("html") - len(head) - len(tail))
+    return pages.withColumn("html", F.concat(opened, inner, closed))
+
+
 PORTAL_LAYOUTS = [p for p in rules.PORTALS if p in LAYOUTS]
