@@ -160,6 +160,44 @@ SELECT canonical_id, {b.norm('title')} AS title_norm, p::DOUBLE AS price_eur, ro
 FROM cleaned""",
 )
 
+# settled in turns: dropped beside an earlier kept row, kept when all earlier conflicting rows are dropped
+add(
+    "collapse_listings", b.LISTING,
+    f"""
+numbered AS (
+  SELECT canonical_id, price_eur, rooms, url_key, {b.norm('city')} AS c, {b.norm('title')} AS t,
+         row_number() OVER (ORDER BY coalesce(price_eur, 9007199254740991), coalesce(rooms, -1) DESC, last_seen_at DESC, canonical_id, seq) AS pos
+  FROM listing
+),
+item AS (
+  SELECT *, list_filter(list_distinct(string_split(t, ' ')), lambda w: length(w) >= 3 AND w NOT IN
+           ('venta','alquiler','piso','pisos','casa','casas','chalet','apartamento','apartamentos','en','de','del','la','el','con')) AS w FROM numbered
+),
+word AS (SELECT pos, unnest(w) AS x FROM item),
+shared AS (SELECT a.pos AS p, b.pos AS q, count(*) AS n FROM word a JOIN word b ON a.x = b.x AND a.pos < b.pos GROUP BY ALL),
+alike AS (
+  SELECT p, q FROM shared JOIN item a ON a.pos = p JOIN item b ON b.pos = q WHERE n::DOUBLE / least(len(a.w), len(b.w)) >= 0.9::DOUBLE
+  UNION SELECT a.pos, b.pos FROM item a JOIN item b ON a.t = b.t AND a.t <> '' AND a.pos < b.pos
+),
+clash AS MATERIALIZED (
+  SELECT p, q FROM alike JOIN item a ON a.pos = p JOIN item b ON b.pos = q
+  WHERE (a.c = '' OR b.c = '' OR contains(a.c, b.c) OR contains(b.c, a.c)) AND coalesce(abs(a.rooms - b.rooms) <= 1, true)
+    AND coalesce(abs(a.price_eur - b.price_eur) <= greatest(5000, floor(least(a.price_eur, b.price_eur) * 0.05::DOUBLE + 0.5)), true)
+  UNION SELECT a.pos, b.pos FROM item a JOIN item b ON a.url_key = b.url_key AND a.pos < b.pos
+),
+walk AS (
+  SELECT pos, CASE WHEN pos IN (SELECT q FROM clash) THEN 'open' ELSE 'kept' END AS state, 0 AS turn FROM item
+  UNION ALL
+  SELECT pos, state, turn FROM (
+    SELECT w.pos, w.turn + 1 AS turn, CASE WHEN w.state <> 'open' THEN w.state WHEN bool_or(e.state = 'kept') THEN 'dropped'
+                                           WHEN bool_or(e.state = 'open') THEN 'open' ELSE 'kept' END AS state
+    FROM walk w LEFT JOIN clash c ON c.q = w.pos AND w.state = 'open' LEFT JOIN walk e ON e.pos = c.p GROUP BY w.pos, w.turn, w.state
+  ) WHERE (SELECT count(*) FROM walk WHERE state = 'open') > 0
+),
+final AS (SELECT pos FROM walk WHERE state = 'kept' AND turn = (SELECT max(turn) FROM walk))""",
+    select="SELECT canonical_id, price_eur, rooms FROM item JOIN final USING (pos)",
+)
+
 # -- extraction -------------------------------------------------------------------------
 FULL_TITLE = "title || CASE WHEN rooms IS NOT NULL THEN ', ' || rooms::INT || ' habs.' ELSE '' END"
 URLS = {

@@ -13,6 +13,7 @@ from roost.functions.text import normalize_text, slugify, strip_tags
 from roost.functions.urls import domain_of, listing_url_key, safe_https_url
 from roost.operators import present, status
 from roost.operators.clean import clean_listings
+from roost.operators.collapse import collapse_table
 from roost.operators.extract import adapter_results, extract_listings, page_listings
 from roost.operators.outcomes import looks_bot_blocked, outcome_rollup, page_outcomes
 from roost.operators.rank import rank_listings
@@ -159,6 +160,12 @@ def cleaned_listings(spark, sf_dir):
     )
 
 
+@query
+def collapse_listings(spark, sf_dir):
+    """All listings without those that an earlier one has the URL of or nearly equals: cheapest, roomiest, newest first."""
+    return collapse_table(views.listing_view(spark, sf_dir)).select("canonical_id", "price_eur", "rooms")
+
+
 # -- extraction: one query per portal layout -----------------------------------------------
 
 def _extracted(rows: DataFrame) -> DataFrame:
