@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ FILTER_BITS = 27
 #: Words hashed at once; characters of a text cut into words at once; distinct words that a task keeps.
 BLOCK = 1 << 20
 PIECE = 1 << 20
-KNOWN = 1 << 20
+KNOWN = 1 << 18
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_SEPARATORS))
 _BASE = 0x9E3779B97F4A7C15
@@ -32,7 +33,7 @@ class _Words(dict):
     def __init__(self):
         super().__init__({b"": _BLANK, b"\n": _BREAK})
         self.words = [b"", b"\n"]
-        self.hashes = [0, 0]
+        self.hashes = array("Q", [0, 0])
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.words)
@@ -73,7 +74,7 @@ class _Block:
         self.lang = np.array([code[lang] for _, lang in self.docs], np.int32)[self.owner]
         self.seeds = np.array([xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 7) for lang in langs], np.uint64)
         # prefix sums of hash times falling powers of the base; wrapping 64-bit arithmetic
-        hashes = np.array(self.known.hashes, np.uint64)[self.ids]
+        hashes = np.array(self.known.hashes)[self.ids]
         self.rise, fall = _powers(len(self.ids) + 1)
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * fall[: len(hashes)], dtype=np.uint64)])
         self.parts = []
@@ -94,6 +95,8 @@ class _Block:
         return value ^ (value >> np.uint64(32))
 
 
+#: Word numbers of one document, at most.
+_PLACE = 1 << 40
 _POWERS: list[np.ndarray] = []
 
 
@@ -154,14 +157,12 @@ def _held(bits: np.ndarray, fingerprints: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _open_starts(block: _Block, k: int, bits: np.ndarray | None) -> np.ndarray:
-    """Starts of ``k``-word phrases both of whose parts of ``k - 1`` words may be frequent."""
-    whole = block.starts(k)
-    if k == 1 or bits is None:
-        return np.flatnonzero(whole)
-    at = np.flatnonzero(whole)
-    at = at[_held(bits, block.fingerprints(k - 1, at))]
-    return at[_held(bits, block.fingerprints(k - 1, at + 1))]
+def _open_starts(block: _Block, k: int, part: int, bits: np.ndarray | None) -> np.ndarray:
+    """Starts of ``k``-word phrases all of whose parts of ``part`` words may be frequent."""
+    at = np.flatnonzero(block.starts(k))
+    for low in range(k - part + 1 if part else 0):
+        at = at[_held(bits, block.fingerprints(part, at + low))]
+    return at
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -170,14 +171,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     )
 
 
-def _frequent(rows: DataFrame, k: int, least: int, bits, max_words: int) -> DataFrame:
-    """Fingerprints of ``k``-word phrases that occur ``least`` times; tasks add up blocks first."""
+def _frequent(rows: DataFrame, lengths: range, least: int, bits, max_words: int) -> DataFrame:
+    """Fingerprints of phrases of these lengths that occur ``least`` times; tasks add up blocks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, max_words - 1):
-            at = _open_starts(block, k, bits.value if bits else None)
-            found, n = np.unique(block.fingerprints(k, at), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
+            for k in lengths:
+                at = _open_starts(block, k, lengths[0] - 1, bits.value if bits else None)
+                found, n = np.unique(block.fingerprints(k, at), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
     counted = rows.mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least).select("fp")
@@ -222,7 +224,7 @@ def _phrases(rows: DataFrame, least: int, bits, max_words: int) -> DataFrame:
             words = block.known.words
             for k in range(max_words + 1):
                 if k:
-                    at = _open_starts(block, k, bits.value)
+                    at = _open_starts(block, k, k - 1, bits.value)
                     at, n = _groups(block, k, at[_held(bits.value, block.fingerprints(k, at))])
                     parts = [[words[i] for i in block.ids[at + j].tolist()] for j in range(k)]
                     phrases = [b" ".join(p) for p in zip(*parts, strict=True)]
@@ -240,9 +242,12 @@ def _phrases(rows: DataFrame, least: int, bits, max_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f", "doc_id", "word"])
 
     found = rows.mapInArrow(verify, "lang string, k int, phrase string, f long, doc_id long, word long")
-    place = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "word")).alias("place")
-    summed = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"), place).filter((F.col("f") >= least) | (F.col("k") == 0))
-    return summed.select("lang", "k", "phrase", "f", "place.doc_id", "place.word")
+    # id and word number in one decimal: a buffer that hash aggregation can keep, where a struct would be sorted
+    place = F.expr(f"cast(doc_id as decimal(20,0)) * {_PLACE} + word")
+    summed = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"), F.min(place).alias("place"))
+    doc_id = F.floor(F.col("place") / _PLACE).cast("long")
+    word = (F.col("place") - doc_id.cast("decimal(20,0)") * _PLACE).cast("long")
+    return summed.filter((F.col("f") >= least) | (F.col("k") == 0)).select("lang", "k", "phrase", "f", doc_id.alias("doc_id"), word.alias("word"))
 
 
 def frequent_phrases(
@@ -253,14 +258,16 @@ def frequent_phrases(
     Texts are lower-cased (A-Z), cut at ``.,;:!?`` and line ends into pieces and at blanks into words; phrases
     stay inside a piece. A phrase can only be frequent when its parts are, so each length is counted after the one before:
     a shuffle adds up fingerprints, frequent ones go into a filter of fixed size, the next length hashes only
-    what the filter lets through. A last scan compares all occurrences with the text they point to. Null langs
+    what the filter lets through (three words and more share one scan). A last scan compares all occurrences with the text they point to. Null langs
     count as ``und``, null and empty texts hold no word, repeated rows count each time.
     """
     rows = _rows(docs, id_col, text_col, lang_col)
     context = docs.sparkSession.sparkContext
     bits, held = np.zeros(1 << (FILTER_BITS - 6), np.uint64), None
-    for k in range(1, max_words + 1):
-        bits |= _filter_bits(_frequent(rows, k, least, held, max_words))
+    for lengths in (range(1, 2), range(2, min(2, max_words) + 1), range(3, max_words + 1)):
+        if not lengths:
+            continue
+        bits |= _filter_bits(_frequent(rows, lengths, least, held, max_words))
         if held:
             held.unpersist()
         held = context.broadcast(bits)
