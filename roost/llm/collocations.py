@@ -171,15 +171,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     )
 
 
-def _frequent(rows: DataFrame, lengths: range, least: int, bits, max_words: int) -> DataFrame:
-    """Fingerprints of phrases of these lengths that occur ``least`` times; tasks add up blocks first."""
+def _frequent(rows: DataFrame, k: int, least: int, bits, max_words: int) -> DataFrame:
+    """Fingerprints of ``k``-word phrases that occur ``least`` times; tasks add up blocks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, max_words - 1):
-            for k in lengths:
-                at = _open_starts(block, k, lengths[0] - 1, bits.value if bits else None)
-                found, n = np.unique(block.fingerprints(k, at), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
+            at = _open_starts(block, k, k - 1, bits.value if bits else None)
+            found, n = np.unique(block.fingerprints(k, at), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
     counted = rows.mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least).select("fp")
@@ -234,17 +233,21 @@ def _phrases(rows: DataFrame, least: int, bits, max_words: int) -> DataFrame:
                     at = every[first]
                     phrases = [b""] * len(at)
                 owner = block.owner[at].tolist()
+                tails = [b"\t" + block.docs[o][1].encode() for o in owner]
                 columns = [
-                    pa.array([block.docs[o][1] for o in owner], pa.string()), pa.array([k] * len(at), pa.int32()),
-                    pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64)),
+                    pa.array([p + t for p, t in zip(phrases, tails, strict=True)], pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64)),
                     pa.array([block.docs[o][0] for o in owner], pa.int64()), pa.array(block.number[at]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f", "doc_id", "word"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "f", "doc_id", "word"])
 
-    found = rows.mapInArrow(verify, "lang string, k int, phrase string, f long, doc_id long, word long")
+    # one string names phrase and lang: no word holds a tab
+    found = rows.mapInArrow(verify, "key string, f long, doc_id long, word long")
     # id and word number in one decimal: a buffer that hash aggregation can keep, where a struct would be sorted
     place = F.expr(f"cast(doc_id as decimal(20,0)) * {_PLACE} + word")
-    summed = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"), F.min(place).alias("place"))
+    summed = found.groupBy("key").agg(F.sum("f").alias("f"), F.min(place).alias("place"))
+    phrase, lang = F.substring_index("key", "\t", 1), F.expr("substring(key, instr(key, '\\t') + 1)")
+    words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    summed = summed.select(lang.alias("lang"), words.alias("k"), phrase.alias("phrase"), "f", "place")
     doc_id = F.floor(F.col("place") / _PLACE).cast("long")
     word = (F.col("place") - doc_id.cast("decimal(20,0)") * _PLACE).cast("long")
     return summed.filter((F.col("f") >= least) | (F.col("k") == 0)).select("lang", "k", "phrase", "f", doc_id.alias("doc_id"), word.alias("word"))
@@ -258,16 +261,14 @@ def frequent_phrases(
     Texts are lower-cased (A-Z), cut at ``.,;:!?`` and line ends into pieces and at blanks into words; phrases
     stay inside a piece. A phrase can only be frequent when its parts are, so each length is counted after the one before:
     a shuffle adds up fingerprints, frequent ones go into a filter of fixed size, the next length hashes only
-    what the filter lets through (three words and more share one scan). A last scan compares all occurrences with the text they point to. Null langs
+    what the filter lets through. A last scan compares all occurrences with the text they point to. Null langs
     count as ``und``, null and empty texts hold no word, repeated rows count each time.
     """
     rows = _rows(docs, id_col, text_col, lang_col)
     context = docs.sparkSession.sparkContext
     bits, held = np.zeros(1 << (FILTER_BITS - 6), np.uint64), None
-    for lengths in (range(1, 2), range(2, min(2, max_words) + 1), range(3, max_words + 1)):
-        if not lengths:
-            continue
-        bits |= _filter_bits(_frequent(rows, lengths, least, held, max_words))
+    for k in range(1, max_words + 1):
+        bits |= _filter_bits(_frequent(rows, k, least, held, max_words))
         if held:
             held.unpersist()
         held = context.broadcast(bits)
