@@ -435,3 +435,24 @@ walk AS (
 )
 SELECT event_id, key, n AS n_in_window, n <= 1 AS allowed, greatest(0, 1 - n)::BIGINT AS remaining,
        greatest(1, ceil((start + 3600000000 - t) / 1000000.0))::BIGINT AS retry_after_seconds FROM walk"""
+
+ORACLES["request_audit_default"] = """
+WITH RECURSIVE log AS (
+  SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '10.0.0.1' ELSE '10.1.0.' || (user_id % 200) END AS key, epoch_us(ts) // 100 AS t FROM events
+),
+times AS (SELECT DISTINCT key, t FROM log),
+later AS (
+  SELECT key, t, min(t) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 60000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM times
+),
+walk AS (
+  SELECT key, min(t) AS start FROM times GROUP BY key
+  UNION ALL
+  SELECT l.key, l.after FROM walk w JOIN later l ON l.key = w.key AND l.t = w.start WHERE l.after IS NOT NULL
+),
+placed AS (
+  SELECT l.event_id, l.key, l.t, max(w.start) OVER (PARTITION BY l.key ORDER BY l.t) AS start
+  FROM log l LEFT JOIN walk w ON l.key = w.key AND l.t = w.start
+),
+seen AS (SELECT *, row_number() OVER (PARTITION BY key, start ORDER BY t, event_id) AS n FROM placed)
+SELECT event_id, key, n AS n_in_window, n <= 12 AS allowed, greatest(0, 12 - n)::BIGINT AS remaining,
+       greatest(1, ceil((start + 60000000 - t) / 1000000.0))::BIGINT AS retry_after_seconds FROM seen"""

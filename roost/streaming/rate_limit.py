@@ -8,11 +8,15 @@ do not apply.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roost.sources.staging import stage
+
 LIMIT = 12
 WINDOW_SECONDS = 60
 
@@ -34,55 +38,137 @@ def _verdict(limit: int, window_us: int) -> dict[str, Column]:
 
 
 def _mark_windows(window_us: int):
-    """Mark the window of every row of a partition sorted by (key, segment, ts).
+    """Mark the window of every row of a partition sorted by (key, run, ts); each run opens a window with its first row.
 
-    Only the open window is carried from row to row and from batch to batch, so memory
-    does not grow with a client's log.
+    One step per window. Only the open window is carried from batch to batch, so memory does not grow with a client's log.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, segment, start, count = None, None, 0, 0
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, start, count = None, 0, 0
         for pdf in batches:
-            starts, counts = [], []
-            for k, s, ts in zip(pdf["key"].tolist(), pdf["segment"].tolist(), pdf["ts_us"].tolist()):
-                if k != key or s != segment or ts >= start + window_us:
-                    key, segment, start, count = k, s, ts, 0
-                count += 1
-                starts.append(start)
-                counts.append(count)
+            if pdf.empty:
+                continue
+            names = pdf[["key", "run"]]
+            fresh = (names != names.shift()).any(axis=1).to_numpy()
+            fresh[0] = tuple(names.iloc[0]) != held
+            held = tuple(names.iloc[-1])
+            ts = pdf["ts_us"].to_numpy()
+            starts, counts = np.empty_like(ts), np.empty_like(ts)
+            cuts = [0, *(np.flatnonzero(fresh[1:]) + 1).tolist(), len(ts)]
+            for low, high in pairwise(cuts):
+                at = low
+                while at < high:
+                    if at == low and fresh[low] or ts[at] >= start + window_us:
+                        start, count = ts[at], 0
+                    end = at + int(np.searchsorted(ts[at:high], start + window_us))
+                    starts[at:end] = start
+                    counts[at:end] = np.arange(count + 1, count + 1 + end - at)
+                    at, count = end, count + end - at
             yield pdf.assign(window_start_us=starts, n_in_window=counts)
 
-    return run
-
-
-def rate_limit_audit(events: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Verdict per request. ``events``: ``event_id``, ``key``, ``ts``.
+    return mark
+
+
+def _chunk_links(window_us: int, chunk_windows: int):
+    """For every time at which a window can open first in a chunk: the time at which one then opens first in the next chunk."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_us")
+        times, home = pdf["ts_us"].to_numpy(), int(pdf["home"].iloc[0])
+        n_own = int(np.searchsorted(times, (home + chunk_windows) * window_us))
+        # from time to time within the chunk, twice as far each turn, until all have left it
+        jump = np.concatenate([np.searchsorted(times, times[:n_own] + window_us), np.arange(n_own, len(times) + 1)])
+        while n_own and jump[:n_own].min() < n_own:
+            jump = jump[jump]
+        if pdf["opens"].iloc[0]:
+            n_entries = min(1, n_own)
+        else:
+            n_entries = min(n_own, int(np.searchsorted(times, (home + 1) * window_us)) + 1)
+        after = pd.array(np.append(times, 0)[jump[:n_entries]], dtype="Int64")
+        after[jump[:n_entries] == len(times)] = pd.NA
+        return pdf.iloc[:n_entries][["key", "home", "opens"]].assign(node=times[:n_entries], after=after)
+
+    return link
+
+
+def _entries(times: DataFrame, slots: DataFrame, window_us: int, chunk_windows: int, most_chunks: int) -> DataFrame:
+    """key, home, entry: when the first window opens in each chunk of the segments that have several."""
+    kind = times.schema["key"].dataType.simpleString()
+    own = times.join(slots.filter("n_chunks > 1"), ["key", "slot"]).select("key", "home", "opens", "slot", "ts_us")
+    # a window that reaches over the seam ends within the first two slots of the next chunk
+    shown = own.filter((~F.col("opens")) & (F.col("slot") < F.col("home") + 2))
+    heads = slots.filter("slot = home").select("key", "home", "opens")
+    ahead = shown.select("key", (F.col("home") - chunk_windows).alias("home"), "ts_us").join(heads, ["key", "home"])
+    both = own.select("key", "home", "opens", "ts_us").unionByName(ahead)
+    links = stage(
+        both.groupBy("key", "home").applyInPandas(
+            _chunk_links(window_us, chunk_windows), f"key {kind}, home bigint, opens boolean, node bigint, after bigint"
+        ),
+        "rate-links",
+    )
+    reached = links.filter("opens").select("key", "home", "node")
+    jump = links.filter("after is not null").select("key", "node", "after")
+    far = chunk_windows
+    while far < most_chunks * chunk_windows:
+        hop = reached.join(jump, ["key", "node"]).select("key", (F.col("home") + far).alias("home"), F.col("after").alias("node"))
+        reached = stage(reached.unionByName(hop), "rate-reached")
+        far *= 2
+        if far < most_chunks * chunk_windows:
+            on = jump.select("key", F.col("node").alias("after"), F.col("after").alias("beyond"))
+            jump = stage(jump.join(on, ["key", "after"]).select("key", "node", F.col("beyond").alias("after")), "rate-jumps")
+    return reached.withColumnRenamed("node", "entry")
+
+
+def rate_limit_audit(
+    events: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, chunk_windows: int = 64
+) -> DataFrame:
+    """Verdict per request. ``events``: ``event_id``, ``key``, ``ts``; rows without key or time get none.
 
     A pause of one whole window always starts afresh. Pauses are found on the distinct
     (key, window-sized slot) pairs, which are bounded by time and not by traffic, and cut
-    every log into independent segments that spread over the cluster.
+    every log into independent segments. A segment longer than ``chunk_windows`` slots is cut further: each chunk
+    maps the times at which a first window may open in it to those of the next chunk, the maps are composed by pointer
+    doubling (as many rounds as the logarithm of the number of chunks), and the chunks are then filled on their own. So a
+    client that never pauses spreads over the cluster too. A task of the first step holds the distinct times of one
+    client in one chunk. Small tables are written under ``spark.checkpoint.dir`` when the function is called.
     """
+    if chunk_windows < 2:
+        raise ValueError("chunk_windows must be 2 or more")
     window_us = window_seconds * 1_000_000
-    rows = events.select("event_id", "key", F.unix_micros("ts").alias("ts_us")).withColumn(
-        "slot", F.floor(F.col("ts_us") / window_us)
-    )
+    rows = events.select("event_id", "key", F.unix_micros("ts").alias("ts_us")).dropna(subset=["key", "ts_us"])
+    rows = rows.withColumn("slot", F.floor(F.col("ts_us") / window_us))
     by_key = Window.partitionBy("key").orderBy("slot")
+    fresh = F.coalesce(F.col("slot") - F.lag("slot").over(by_key) > 1, F.lit(True))
+    first = F.max(F.when(F.col("fresh"), F.col("slot"))).over(by_key)
+    number = F.floor((F.col("slot") - F.col("first")) / chunk_windows)
     slots = (
         rows.select("key", "slot")
         .distinct()
-        .withColumn("fresh", F.when(F.col("slot") - F.lag("slot").over(by_key) <= 1, 0).otherwise(1))
-        .select("key", "slot", F.sum("fresh").over(by_key).alias("segment"))
+        .withColumn("fresh", fresh)
+        .select("key", "slot", first.alias("first"))
+        .withColumn("home", F.col("first") + number * chunk_windows)
+        .withColumn("n_chunks", F.max(number).over(Window.partitionBy("key", "first")) + 1)
+        .select("key", "slot", "home", (F.col("home") == F.col("first")).alias("opens"), "n_chunks")
     )
+    slots = stage(slots, "rate-slots")
+    most_chunks = slots.agg(F.max("n_chunks")).first()[0] or 0
+    entry = F.lit(None).cast("bigint")
+    if most_chunks > 1:
+        times = rows.select("key", "slot", "ts_us").distinct()
+        slots = slots.join(_entries(times, slots, window_us, chunk_windows, most_chunks), ["key", "home"], "left")
+        entry = F.col("entry")
+    # what comes before a chunk's first window belongs to the last window of the chunk before
+    run = F.when(F.col("opens") | (F.col("ts_us") >= entry), F.col("home")).otherwise(F.col("home") - chunk_windows)
     ordered = (
         rows.join(slots, ["key", "slot"])
-        .select("event_id", "key", "segment", "ts_us")
-        .repartition("key", "segment")
-        .sortWithinPartitions("key", "segment", "ts_us", "event_id")
+        .select("event_id", "key", run.alias("run"), "ts_us")
+        .repartition("key", "run")
+        .sortWithinPartitions("key", "run", "ts_us", "event_id")
     )
     kind = ordered.schema["key"].dataType.simpleString()
     marked = ordered.mapInPandas(
         _mark_windows(window_us),
-        f"event_id bigint, key {kind}, segment bigint, ts_us bigint, window_start_us bigint, n_in_window bigint",
+        f"event_id bigint, key {kind}, run bigint, ts_us bigint, window_start_us bigint, n_in_window bigint",
     )
     return marked.withColumns(_verdict(limit, window_us)).select(
         "event_id", "key", F.timestamp_micros("ts_us").alias("ts"), F.timestamp_micros("window_start_us").alias("window_start"),
