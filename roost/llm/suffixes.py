@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +111,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, id_col: str = "doc
     are a minimiser of their surroundings, so equal passages of ``least_words`` words select equal positions.
     Suffixes whose key occurs in one place only are dropped by a count, the others sorted by range
     partitions (ties by document, so a passage that a third of all documents share is cut across tasks) and compared
-    with the nearest rows of other documents before and after; matches are extended right and left word by word. The owner
+    with the nearest rows of other documents before and after, across partitions too; matches are extended right and left word by word. The owner
     is taken for every ``least_words`` words in a row of a match: the smallest document that is on either side of a match
     with the same words there. What the document does not own itself is a repeat; repeats that touch are merged.
     Repeats within one document are not reported. Null and short texts have no suffix, null ids no part; rows that repeat an
@@ -170,55 +169,50 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, id_col: str = "doc
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     array = rich.df.repartitionByRange(slots, *order).sortWithinPartitions(*order)
 
+    columns = ["key", "right", "left", "doc_id", "pos"]
+
+    def give(matches: list, edges: list[dict]) -> pa.RecordBatch:
+        out = [(*m, None, None, None, None) for m in matches] + [(e["doc_id"], None, None, None, *(e[c] for c in ("key", "right", "left", "pos"))) for e in edges]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+        names = ["doc_id", "start", "other", "windows", "key", "right", "left", "pos"]
+        given = list(zip(*out, strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(given, types, strict=True)], names=names)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matches inside a partition, and the partition's outermost rows (part, side) for the seams between partitions."""
-        part, held, first = TaskContext.get().partitionId(), None, True
-
-        def give(matches: list, edge: dict | None, side: int) -> pa.RecordBatch:
-            out = [(*m, None, None, None, None, None, None) for m in matches]
-            if edge:
-                out.append((edge["doc_id"], None, None, None, part, side, edge["key"], edge["right"], edge["left"], edge["pos"]))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-            names = ["doc_id", "start", "other", "windows", "part", "side", "key", "right", "left", "pos"]
-            columns = list(zip(*out, strict=True)) or [()] * len(types)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        """Matches inside a partition, and at both ends of it the rows whose nearest row of another document may lie outside.
 
+        Only rows of one key are compared, so these are the first and last rows that share key and document, and one row more.
+        """
+        held, lead, leading = None, None, True
         for batch in batches:
             if not len(batch):
                 continue
-            # the last rows seen go on in front, from the last row of another document
-            table = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            rows = table.to_pydict()
-            yield give(_matches(rows, left_words, least_words), {c: v[0] for c, v in rows.items()} if first else None, 0)
-            first = False
-            docs_here = rows["doc_id"]
-            back = len(docs_here) - 1
-            while back > 0 and docs_here[back] == docs_here[-1]:
+            fresh = pa.Table.from_batches([batch]).select(columns)
+            edges = []
+            if leading:
+                mine = list(zip(fresh["key"].to_pylist(), fresh["doc_id"].to_pylist(), strict=True))
+                lead = lead or mine[0]
+                n_edge = next((i + 1 for i, m in enumerate(mine) if m != lead), None)
+                leading = n_edge is None
+                edges = fresh.slice(0, n_edge).to_pylist()
+            # what the last batch left open goes on in front
+            table = pa.concat_tables([held, fresh]) if held is not None else fresh
+            yield give(_matches(table.to_pydict(), left_words, least_words), edges)
+            keys, docs_here = table["key"].to_pylist(), table["doc_id"].to_pylist()
+            back = len(keys) - 1
+            while back > 0 and docs_here[back] == docs_here[-1] and keys[back] == keys[-1]:
                 back -= 1
-            held = table.slice(max(back, len(docs_here) - 1000))
+            held = table.slice(back)
         if held is not None:
-            yield give([], {c: v[-1] for c, v in held.slice(len(held) - 1).to_pydict().items()}, 1)
+            yield give([], held.to_pylist())
 
-    compared = stage(
-        array.mapInArrow(compare, f"{_MATCH}, part int, side int, key long, right binary, left binary, pos int"), "suffix-matches"
-    )
+    match = f"{_MATCH}, key long, right binary, left binary, pos int"
+    compared = stage(array.mapInArrow(compare, match), "suffix-matches")
     rich.drop()
-
-    def seam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair = [row["this"], row["next"]]
-                rows = {c: [p[c] for p in pair] for c in ("key", "right", "left", "doc_id", "pos")}
-                found = _matches(rows, left_words, least_words)
-                if found:
-                    columns = zip(zip(*found, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc_id", "start", "other", "windows"])
-
-    # two rows per partition
-    edges = compared.filter("side is not null").withColumn("this", F.struct("key", "right", "left", "doc_id", "pos"))
-    pairs = edges.withColumn("next", F.lead("this").over(Window.orderBy("part", "side"))).filter("side = 1 and next is not null")
-    seams = pairs.select("this", "next").mapInArrow(seam, _MATCH)
-    matches = compared.filter("side is null").select("doc_id", "start", "other", "windows").unionByName(seams)
+    # the open rows of one key side by side: a run of one document may reach over many partitions
+    edges = compared.filter("key is not null").select(*columns).distinct().repartition("key").sortWithinPartitions(*order)
+    seams = edges.mapInArrow(compare, match)
+    matches = compared.unionByName(seams).filter("key is null").select("doc_id", "start", "other", "windows")
     each = matches.select("doc_id", "start", "other", F.posexplode("windows").alias("k", "window"))
     each = each.select("doc_id", (F.col("start") + F.col("k")).alias("start"), "window", "other")
     owners = each.groupBy("window").agg(F.min("other").alias("first_doc"))
