@@ -29,18 +29,26 @@ def op1_token_counts(spark, sf_dir):
     """Totals after all documents came in, those labelled toxic went, and texts with
     e-mail addresses were counted anew without them; one batch comes twice.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/roost-llm/token-rollup-{uuid.uuid4().hex}"
+    return _token_totals(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), folder)
+
+
+def _token_totals(documents: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """The batches of ``op1_token_counts``. Rows with a null id are never toxic; a toxic id takes all its rows.
+
+    What a revision takes back and what it puts in place come from the same rows, so ids may repeat.
+    """
+    docs = documents.select("doc_id", "source", "lang", "text")
     versions = ["byte_bpe_50k", "byte_bpe_multi_50k"]
-    counted = stage(tokencounts.count_tokens(docs, versions), "token-counts")
-    toxic = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    clean = counted.join(toxic, "doc_id", "left_anti")
     redacted = F.regexp_replace("text", r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]")
-    mailed = docs.filter(redacted != F.col("text"))
-    again = tokencounts.count_tokens(mailed.withColumn("text", redacted).join(toxic, "doc_id", "left_anti"), versions)
-    rollup = tokencounts.Rollup(spark, f"{checkpoint_dir(spark).rstrip('/')}/roost-llm/token-rollup-{uuid.uuid4().hex}")
+    counted = stage(tokencounts.count_tokens(docs, versions, mark=redacted != F.col("text")), "token-counts")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    mailed = docs.filter(redacted != F.col("text")).withColumn("text", redacted).join(toxic, "doc_id", "left_anti")
+    old = counted.filter("marked").join(toxic, "doc_id", "left_anti")
+    rollup = tokencounts.Rollup(documents.sparkSession, folder)
     rollup.apply("b1-insert", tokencounts.inserts(counted))
     rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
-    rollup.apply("b3-revise", tokencounts.revisions(clean.join(mailed.select("doc_id").distinct(), "doc_id", "left_semi"), again))
+    rollup.apply("b3-revise", tokencounts.revisions(old, tokencounts.count_tokens(mailed, versions)))
     rollup.apply("b2-delete", tokencounts.deletes(counted.join(toxic, "doc_id", "left_semi")))
     return rollup.totals()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roost.llm.packing import encoder
@@ -15,10 +15,12 @@ _SUMS = ["n_docs", "n_tokens"]
 _DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
-def count_tokens(docs: DataFrame, versions: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, versions: list[str], id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer_version, n_tokens of every whole text, one row per input row and version.
 
-    A version names a byte-level vocabulary of the public tokenizers. Null and empty texts have no token.
+    A version names a byte-level vocabulary of the public tokenizers. Null and empty texts have no token; rows that repeat
+    an id, and null ids, count like any other. ``mark``: a boolean of the row that comes along as ``marked`` (null: false), to
+    pick the same rows again whatever their ids.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,12 +30,14 @@ def count_tokens(docs: DataFrame, versions: list[str], id_col: str = "doc_id", t
                 encode = encoder(version)
                 counts = pa.array([len(encode.encode_to_numpy(t, allowed_special="all")) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array([version] * len(texts)), counts],
-                    names=["doc_id", "source", "lang", "tokenizer_version", "n_tokens"],
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array([version] * len(texts)), counts, batch.column(4)],
+                    names=["doc_id", "source", "lang", "tokenizer_version", "n_tokens", "marked"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source"), F.col("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    marked = F.coalesce(mark if mark is not None else F.lit(False), F.lit(False)).alias("marked")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source"), F.col("lang"), F.col(text_col).alias("text"), marked)
+    counted = rows.mapInArrow(count, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, marked boolean")
+    return counted if mark is not None else counted.drop("marked")
 
 
 def inserts(counted: DataFrame) -> DataFrame:
