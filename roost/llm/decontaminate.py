@@ -163,8 +163,6 @@ def leaks_of(ids: np.ndarray, index: Index, window: int, threshold: float, overl
         text = ids[low : low + window]
         question, answer = index.questions[item], index.answers[item]
         n_q, hit_q, at_q = _share(question, text)
-        if hit_q < overlap * n_q / 2:
-            continue
         n_a, hit_a, at_a = _share(answer, text)
         n_all, hit_all, at_all = _share(np.concatenate([question, answer]), text)
         near = text[at_all.min() : at_all.max() + SHINGLE] if len(at_all) else text[:0]

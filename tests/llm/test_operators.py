@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, simhash, suffixes, tokencounts
+from roost.llm import decontaminate, langid, licenses, neighbours, packing, paragraphs, quality, queries, simhash, suffixes, tokencounts
 from roost.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep string, fp string, leaks string, node string"
@@ -234,6 +234,35 @@ def test_suffix_passages_equal_brute_force(docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1, 4, 16, 64])
+def test_suffix_passages_many_times_in_one_document(spark, slots):
+    """Runs of one document in suffix order reach over partitions; nothing may depend on where they are cut."""
+    lines = [prose(55, 1300 + k) for k in range(6)]
+    draw = random.Random(slots)
+    mixed = [" ".join(draw.choice(lines) for _ in range(draw.randint(1, 12))) + " " + prose(draw.randint(0, 30), 1400 + k) for k in range(12)]
+    texts = [PASSAGE, " ".join([PASSAGE] * 40), *mixed]
+    seen = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            seen[tuple(w[j : j + 50])].add(i)
+    want = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            if min(seen[tuple(w[j : j + 50])]) < i:
+                want[i].update(range(j, j + 50))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slots)
+    try:
+        got = defaultdict(set)
+        for r in suffixes.repeated_passages(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect():
+            got[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got[1]) == 2400 and got == want
+
+
 def test_suffix_passages_around_a_frequent_line(spark):
     lines = [prose(25, 600 + k) for k in range(10)]
     rows = [(0, "\n".join(prose(30, 650 + k) + "\n" + line for k, line in enumerate(lines)), None)]
@@ -357,3 +386,23 @@ def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     assert rollup.totals().count() == 1 and rollup.apply("d", tokencounts.inserts(old.limit(0)))
     with pytest.raises(ValueError):
         rollup.apply("../x", counted)
+
+
+def test_token_totals_with_null_and_repeated_ids(spark, tmp_path):
+    mail, plain = "write to a.b@example.org today please", "seven plain words stand in this text"
+    rows = [(None, mail, "en"), (1, plain, "en"), (2, mail, "en"), (2, plain, "en"), (3, plain, "en"), (3, mail, "en"), (4, None, None), (5, "", "en")]
+    labels = spark.createDataFrame([(3, 1), (None, 1), (1, 0), (1, None)], "doc_id long, toxic int")
+    got = queries._token_totals(table(spark, rows), labels, str(tmp_path / "totals"))
+    left = [t.replace("a.b@example.org", "[email]") for _, t, lang in rows[:4] + rows[7:] if lang]
+    want = (5, sum(len(packing.token_ids(t)) for t in left))
+    assert got.filter("lang = 'en' and tokenizer_version = 'byte_bpe_50k'").select("n_docs", "n_tokens").first() == want
+    assert got.filter("lang is null").select("n_docs", "n_tokens").distinct().collect() == [(1, 0)]
+
+
+def test_decontamination_with_one_word_of_a_short_question_changed(spark):
+    item = " ".join(prose(8, 1500).split()) + "? " + prose(40, 1501)
+    words = item.split()
+    words[4] = "changed"
+    rows = table(spark, [(1, prose(60, 1502) + " " + " ".join(words) + " " + prose(60, 1503), None), (2, prose(200, 1504), None)])
+    parts = decontaminate.benchmark_items(spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, parts).collect()] == [(1, 7)]
