@@ -7,6 +7,7 @@ do not apply.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -14,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from roost.sources.staging import stage
 
 LIMIT = 12
 WINDOW_SECONDS = 60
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def client_key(forwarded: Column, fallback: Column | None = None) -> Column:
@@ -37,10 +40,24 @@ def _verdict(limit: int, window_us: int) -> dict[str, Column]:
     }
 
 
+def _fill_windows(ts: np.ndarray, window_us: int, start: int | None, count: int):
+    """Window start and number in it of sorted times that follow an open window; one step per window."""
+    starts, counts = np.empty_like(ts), np.empty_like(ts)
+    at = 0
+    while at < len(ts):
+        if start is None or ts[at] >= start + window_us:
+            start, count = ts[at], 0
+        end = at + int(np.searchsorted(ts[at:], start + window_us))
+        starts[at:end] = start
+        counts[at:end] = np.arange(count + 1, count + 1 + end - at)
+        at, count = end, count + end - at
+    return starts, counts, start, count
+
+
 def _mark_windows(window_us: int):
     """Mark the window of every row of a partition sorted by (key, run, ts); each run opens a window with its first row.
 
-    One step per window. Only the open window is carried from batch to batch, so memory does not grow with a client's log.
+    Only the open window is carried from batch to batch, so memory does not grow with a client's log.
     """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,14 +73,9 @@ def _mark_windows(window_us: int):
             starts, counts = np.empty_like(ts), np.empty_like(ts)
             cuts = [0, *(np.flatnonzero(fresh[1:]) + 1).tolist(), len(ts)]
             for low, high in pairwise(cuts):
-                at = low
-                while at < high:
-                    if at == low and fresh[low] or ts[at] >= start + window_us:
-                        start, count = ts[at], 0
-                    end = at + int(np.searchsorted(ts[at:high], start + window_us))
-                    starts[at:end] = start
-                    counts[at:end] = np.arange(count + 1, count + 1 + end - at)
-                    at, count = end, count + end - at
+                if fresh[low]:
+                    start, count = None, 0
+                starts[low:high], counts[low:high], start, count = _fill_windows(ts[low:high], window_us, start, count)
             yield pdf.assign(window_start_us=starts, n_in_window=counts)
 
     return mark
@@ -177,7 +189,9 @@ def rate_limit_audit(
 
 
 def rate_limit_stream(events: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """The same verdicts over a stream: per client only (window start, count) is kept.
+    """The same verdicts over a stream, at once: per client only (window start, count) is kept.
+
+    Events are put in order inside a micro-batch only; ``rate_limit_stream_in_order`` waits and orders across them.
 
     State is dropped by an event-time timeout once the watermark passes the window's end.
     """
@@ -211,3 +225,82 @@ def rate_limit_stream(events: DataFrame, limit: int = LIMIT, window_seconds: int
         "EventTimeTimeout",
     )
     return marked.withColumns(_verdict(limit, window_us))
+
+
+class _EventOrder(StatefulProcessor):
+    """Holds a client's events until the watermark has passed them, then fills windows in event order."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_us bigint, event_id bigint")
+        self.window = handle.getValueState("window", "start_us bigint, n bigint")
+
+    def _wake_at(self, ts_us: int) -> None:
+        """A timer fires once the watermark lies above it; an earlier one does for later events too."""
+        at = ts_us // 1000
+        if all(known > at for known in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the Spark interface
+        for pdf in rows:
+            self.waiting.appendList(list(zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist())))
+            self._wake_at(int(pdf["ts_us"].min()))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
+        held = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
+        n_due = bisect_right(held, (passed_us, float("inf")))
+        due, later = held[:n_due], held[n_due:]
+        start, count = self.window.get() if self.window.exists() else (None, 0)
+        if due:
+            ts = np.array([row[0] for row in due], dtype="int64")
+            starts, counts, start, count = _fill_windows(ts, self.window_us, start, count)
+            self.waiting.put(later) if later else self.waiting.clear()
+            yield pd.DataFrame(
+                {
+                    "event_id": [row[1] for row in due], "key": pd.Series([key[0]] * len(due), dtype="object"), "ts_us": ts,
+                    "window_start_us": starts, "n_in_window": counts,
+                }
+            )
+        if start is not None and start + self.window_us > passed_us:
+            self.window.update((int(start), int(count)))
+            self._wake_at(int(start) + self.window_us + 999)
+        elif self.window.exists():
+            self.window.clear()
+        if later:
+            self._wake_at(later[0][0])
+
+
+def rate_limit_stream_in_order(
+    events: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, delay_seconds: int | None = None
+) -> DataFrame:
+    """The same verdicts over a stream, in event order across micro-batches.
+
+    An event may come up to ``delay_seconds`` (unset: one window) behind the newest one; its verdict is given once the
+    watermark lies above its time, so events of one window equal the batch verdicts however they are spread over
+    batches. Later ones are dropped, as by any watermark. State of a client: the events still waiting, its open window
+    (start, count) until the watermark has passed the window's end, and one or two timers. Rows without key, time or id get no
+    verdict; those with a time still move the watermark. A task holds the waiting events of one client at a time, which delay and rate bound.
+
+    The session needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``STATE_PROVIDER``).
+    """
+    window_us = window_seconds * 1_000_000
+    delay = window_seconds if delay_seconds is None else delay_seconds
+    rows = (
+        events.withWatermark("ts", f"{delay} seconds")
+        .select("event_id", "key", "ts", F.unix_micros("ts").alias("ts_us"))
+        .dropna(subset=["event_id", "key", "ts"])
+    )
+    kind = rows.schema["key"].dataType.simpleString()
+    marked = rows.groupBy("key").transformWithStateInPandas(
+        _EventOrder(window_us),
+        f"event_id bigint, key {kind}, ts_us bigint, window_start_us bigint, n_in_window bigint",
+        "append",
+        "EventTime",
+    )
+    return marked.withColumns(_verdict(limit, window_us))
