@@ -314,6 +314,67 @@ add(
     WHEN counts_down AND n_down = n THEN 'UPSTREAM_UNAVAILABLE' ELSE empty_code END AS error_code FROM rolled""",
 )
 
+# the newest fetch of every page of the fetch history
+HISTORY = FETCHED[: FETCHED.index("fetched AS (")] + """history AS (
+  SELECT portal, 'nation ' || ((page_id // 13) % 5) AS location_key, (page_id // 65) % 2 + 1 AS page_no, page_id AS fetch_id, html,
+         (page_id * 37) % 101 AS hour, CASE WHEN (page_id // 13) % 5 = 0 THEN [403, 429, 503][(page_id % 3 + 1)::INT]
+           ELSE [200, 403, 429, 404, 503, 200, 401][((page_id // 13 + page_id % 13 * 3) % 7 + 1)::INT] END AS status,
+         policy.* EXCLUDE (portal, pos)
+  FROM pages JOIN policy ON pos = page_id % 13
+),
+fetched AS (
+  SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY portal, location_key, page_no ORDER BY hour DESC, fetch_id DESC) = 1
+),
+""" + FETCHED[FETCHED.index("classed AS (") :]
+add("latest_pages", HISTORY, select="SELECT portal, location_key, page_no, fetch_id, page_class FROM classed")
+READ = """
+read AS (
+  SELECT portal, location_key, count(*) AS n, count(*) FILTER (page_class IN ('blocked', 'challenge')) AS n_blocked,
+    count(*) FILTER (page_class = 'rate_limited') AS n_rate, count(*) FILTER (page_class = 'unavailable') AS n_down,
+    5 * count(*) FILTER (page_class = 'ok') AS n_listings,
+    arg_min(page_class, page_no) FILTER (list_contains(fast, page_class) AND (portal <> 'fotocasa' OR page_no = 1)) AS fatal,
+    any_value(counts_down) AS counts_down, any_value(empty_code) AS empty_code FROM classed GROUP BY portal, location_key
+),
+outcome AS (
+  SELECT portal, location_key, n_listings, CASE WHEN fatal = 'rate_limited' THEN 'UPSTREAM_RATE_LIMIT'
+    WHEN fatal IN ('blocked', 'challenge') THEN 'UPSTREAM_BLOCKED' WHEN fatal = 'unavailable' THEN 'UPSTREAM_UNAVAILABLE'
+    WHEN n_listings > 0 THEN NULL
+    WHEN portal NOT IN ('habitaclia', 'fotocasa', 'pisos') AND n_rate = n THEN 'UPSTREAM_RATE_LIMIT'
+    WHEN portal NOT IN ('habitaclia', 'fotocasa', 'pisos') AND n_blocked = n THEN 'UPSTREAM_BLOCKED'
+    WHEN counts_down AND n_down = n THEN 'UPSTREAM_UNAVAILABLE' ELSE empty_code END AS error_code FROM read
+)"""
+add("outcomes_incremental", HISTORY, READ, select="SELECT portal, location_key, error_code, n_listings::BIGINT AS n_listings FROM outcome")
+add(
+    "page_totals_incremental", HISTORY,
+    select="""SELECT portal, location_key, page_class, count(*) AS n_pages, CASE WHEN page_class = 'ok' THEN 5 * count(*) ELSE 0 END::BIGINT AS n_listings
+  FROM classed GROUP BY portal, location_key, page_class""",
+)
+OPENED = f"""
+opened AS (
+  SELECT t.*, o.error_code FROM task t LEFT JOIN outcome o ON o.portal = t.portal AND o.location_key = {b.norm('t.location')}
+)"""
+READ_PICK = b.PICK.replace("FROM task t JOIN prepared p", "FROM (SELECT * EXCLUDE (error_code) FROM opened WHERE error_code IS NULL) t JOIN prepared p")
+READ_FOUND = (HISTORY, READ, b.LISTING, b.SEARCH, b.PLACE, OPENED, b.PREPARED, READ_PICK)
+add(
+    "search_with_outcomes", *READ_FOUND, b.COLLAPSE, b.RESULT,
+    select="SELECT search_id, result_rank, canonical_id, score::BIGINT AS score FROM result",
+)
+add(
+    "public_coverage", *READ_FOUND, COVERAGE,
+    select="""SELECT search_id, c.loc_pos::BIGINT AS loc_pos, c.src_pos::BIGINT AS src_pos, c.location, c.portal,
+  CASE WHEN o.error_code IS NULL THEN 'scrape' END AS source, candidates, returned, o.error_code,
+  CASE o.error_code WHEN 'UPSTREAM_RATE_LIMIT' THEN 'A source is temporarily rate limited.'
+    WHEN 'UPSTREAM_SCHEMA_CHANGED' THEN 'A source returned an unsupported response.'
+    WHEN 'UPSTREAM_BLOCKED' THEN 'A source blocked automated access.'
+    WHEN 'UPSTREAM_UNAVAILABLE' THEN 'A source is temporarily unavailable.' END AS public_message
+  FROM coverage c JOIN opened o USING (search_id, loc_pos, src_pos)""",
+)
+add(
+    "search_failures", HISTORY, READ, b.SEARCH, b.PLACE, OPENED,
+    select="""SELECT search_id, arg_min(error_code, loc_pos * 100 + src_pos) AS error_code FROM opened
+  GROUP BY search_id HAVING bool_and(error_code IS NOT NULL)""",
+)
+
 # -- presentation -----------------------------------------------------------------------
 PUBLIC = f"""
 public AS (

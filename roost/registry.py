@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,12 @@ from roost.operators.extract import adapter_results, extract_listings, page_list
 from roost.operators.outcomes import looks_bot_blocked, outcome_rollup, page_outcomes
 from roost.operators.rank import rank_listings
 from roost.operators.search import run_search
+from roost.operators.versions import PageVersions, latest_pages as newest_pages
 from roost.plans.crawl_plan import best_suggestions, crawl_plan
 from roost.plans.search_plan import plan_requests, plan_tasks
 from roost.sources import views
 from roost.sources.page_views import PORTAL_LAYOUTS, nested_list_pages, portal_pages
+from roost.sources.staging import checkpoint_dir
 from roost.streaming.rate_limit import client_key, rate_limit_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,6 +230,97 @@ def outcome_rollups(spark, sf_dir):
     return outcome_rollup(log).select("portal", "crawl_location", "error_code")
 
 
+# Status of the pages of the fetch history: of the place that no portal lets in, and of the others.
+_SHUT, _MIXED = (403, 429, 503), (200, 403, 429, 404, 503, 200, 401)
+
+
+def _fetch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages as fetches over time: 130 pages (13 portals, 5 places in two spellings, 2 numbers), out of order and at equal times."""
+    pid = F.col("page_id")
+    place = F.floor(pid / 13) % 5
+    mixed = ((F.floor(pid / 13) + pid % 13 * 3) % 7 + 1).cast("int")
+    spelled = F.when(F.floor(pid / 130) % 2 == 0, F.concat(F.lit("NATION_"), place.cast("string"))).otherwise(
+        F.concat(F.lit(" nation-"), place.cast("string"), F.lit(" "))
+    )
+    number = (F.floor(pid / 65) % 2 + 1).cast("int")
+    return views.table(spark, sf_dir, "pages").select(
+        F.element_at(F.array(*[F.lit(p) for p in rules.PORTALS]), (pid % 13 + 1).cast("int")).alias("portal"),
+        spelled.alias("crawl_location"),
+        F.concat(F.lit("/p/"), number.cast("string")).alias("path"),
+        number.alias("page_no"),
+        F.when(place == 0, F.element_at(F.array(*[F.lit(c) for c in _SHUT]), (pid % 3 + 1).cast("int")))
+        .otherwise(F.element_at(F.array(*[F.lit(c) for c in _MIXED]), mixed))
+        .alias("http_status"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + pid * 37 % 101 * 3600).alias("fetched_at"),
+        pid.cast("bigint").alias("fetch_id"),
+        "html",
+        F.lit(None).cast("map<string,string>").alias("headers"),
+    )
+
+
+def _read_outcomes(pages: DataFrame) -> DataFrame:
+    """Page outcomes; a page that could be read gave five listings."""
+    return page_outcomes(pages).withColumn("n_listings", F.when(F.col("page_class") == "ok", 5).otherwise(0).cast("bigint"))
+
+
+@query
+def latest_pages(spark, sf_dir):
+    """The newest fetch of every page of the fetch history and what it gave."""
+    rows = page_outcomes(newest_pages(_fetch_history(spark, sf_dir)))
+    return rows.select("portal", "location_key", _big("page_no"), "fetch_id", "page_class")
+
+
+def _versions(spark, sf_dir) -> PageVersions:
+    """The fetch history applied in three batches that mix old and new fetches."""
+    store = PageVersions(spark, f"{checkpoint_dir(spark).rstrip('/')}/roost/pages-{uuid.uuid4().hex}")
+    outcomes = _read_outcomes(_fetch_history(spark, sf_dir))
+    for batch in range(3):
+        store.apply(batch, outcomes.filter(F.floor(F.col("fetch_id") * 7 / 5) % 3 == batch))
+    return store
+
+
+@query
+def outcomes_incremental(spark, sf_dir):
+    """Outcome per portal and place, kept over three batches with late fetches."""
+    return _versions(spark, sf_dir).rollup().select("portal", "location_key", "error_code", "n_listings")
+
+
+@query
+def page_totals_incremental(spark, sf_dir):
+    """Kept pages per portal, place and class as sums of signed changes over the same batches."""
+    return _versions(spark, sf_dir).totals().select("portal", "location_key", "page_class", _big("n_pages"), _big("n_listings"))
+
+
+def _search_read(spark, sf_dir):
+    """The search batch over listings whose portals were read with the newest outcomes of the fetch history."""
+    key = (spark.sparkContext.applicationId, sf_dir, "outcomes")
+    if key not in _STAGED:
+        outcomes = outcome_rollup(_read_outcomes(newest_pages(_fetch_history(spark, sf_dir))))
+        _STAGED[key] = run_search(views.search_view(spark, sf_dir), views.listing_view(spark, sf_dir), outcomes)
+    return _STAGED[key]
+
+
+@query
+def search_with_outcomes(spark, sf_dir):
+    """Every saved search without the listings of portals that could not be read for its place."""
+    return _search_read(spark, sf_dir).results.select("search_id", _big("result_rank"), "canonical_id", _big("score"))
+
+
+@query
+def public_coverage(spark, sf_dir):
+    """Published coverage per search, place and portal: source kind, counts, error code and its public sentence."""
+    return status.public_diagnostics(_search_read(spark, sf_dir).coverage).select(
+        "search_id", _big("loc_pos"), _big("src_pos"), "location", "portal", "source", "candidates", "returned", "error_code",
+        "public_message",
+    )
+
+
+@query
+def search_failures(spark, sf_dir):
+    """Searches for which every portal failed, with the first error."""
+    return _search_read(spark, sf_dir).failures.select("search_id", "error_code")
+
+
 # -- presentation -------------------------------------------------------------------------
 
 def _public(spark, sf_dir) -> DataFrame:
