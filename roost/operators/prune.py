@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roost import rules
 from roost.functions.text import contains_term, normalize_text
 from roost.operators import filters as flt
+from roost.operators.rank import NO_PRICE, listing_order
 from roost.operators.score import matched_tags, points_of, prepare_listings, score_rules, with_score
 from roost.sources.staging import stage
 
@@ -16,6 +17,8 @@ ROW = ["canonical_id", "seq"]
 BLOCK = ["portal", "location_key", "kind", "band", "room_band"]
 SIGNALS = ["light_text", "exterior_text", "window_text", "orientation_text", "renovation_text"]
 BAND_EUR = 50_000
+#: Up to so many different hints of a batch are looked up in every text that is read.
+FEW_HINTS = 64
 _TEXTS = "array<string>"
 
 
@@ -97,27 +100,51 @@ def _may_hold() -> Column:
     )
 
 
-def _open(blocks: DataFrame, facts: DataFrame, task: list[str]) -> DataFrame:
+def _open(blocks: DataFrame, facts: DataFrame, task: list[str], small: bool, *bar: str) -> DataFrame:
     """Listings of the opened (task, block) rows that meet the constraints, with both bounds of their score."""
-    opened = blocks.select(*task, "q", "cap", "relaxable", *BLOCK)
-    rows = facts.join(opened, BLOCK).filter(flt.base_ok()).withColumn("floor_pass", flt.floor_ok())
+    opened = blocks.select(*task, "q", "cap", "relaxable", *bar, *BLOCK)
+    rows = facts.join(F.broadcast(opened) if small else opened, BLOCK).filter(flt.base_ok()).withColumn("floor_pass", flt.floor_ok())
     rows = rows.filter(F.col("floor_pass") | F.col("relaxable")).withColumn("_city", flt.has_city() & flt.city_match())
     return rows.withColumns({"least": _least(F.col("_city")), "most": _most(F.col("_city"))}).drop("_city", "q", "relaxable", *BLOCK[1:], "floor_loose")
 
 
+def _tie() -> list[Column]:
+    """What decides between equal scores, up to the id, as numbers that are never null."""
+    return [
+        F.coalesce("price_eur", F.lit(NO_PRICE)),
+        F.coalesce("rooms", F.lit(-1.0)),
+        F.coalesce(F.unix_micros("last_seen_at"), F.lit(-(1 << 63))),
+    ]
+
+
+BAR = ["bar", "bar_price", "bar_rooms", "bar_seen"]
+
+
 def _bars(rows: DataFrame, task: list[str], most_rows: int) -> DataFrame:
-    """Per task the lower bound that ``cap`` rows reach; tasks with fewer rows have none."""
-    best = Window.partitionBy(*task).orderBy(F.desc("least"))
-    cut = rows.select(*task, "cap", "least").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most_rows)
-    return cut.filter("n = cap").select(*task, F.col("least").alias("bar"))
+    """Per task the lower bound, and the place among equal ones, that ``cap`` rows reach; tasks with fewer rows have none."""
+    best = Window.partitionBy(*task).orderBy(F.desc("least"), *listing_order()[1:-1])
+    cut = rows.select(*task, "cap", "least", "price_eur", "rooms", "last_seen_at").withColumn("n", F.row_number().over(best))
+    price, room, seen = _tie()
+    return cut.filter(F.col("n") <= most_rows).filter("n = cap").select(
+        *task, F.col("least").alias("bar"), price.alias("bar_price"), room.alias("bar_rooms"), seen.alias("bar_seen")
+    )
+
+
+def _reaches_bar() -> Column:
+    """Whether a row can come before the row that sets the bar: more points, or as many and not behind it among equals."""
+    price, room, seen = _tie()
+    bar_price, bar_room = F.col("bar_price"), F.col("bar_rooms")
+    level = (price < bar_price) | ((price == bar_price) & ((room > bar_room) | ((room == bar_room) & (seen >= F.col("bar_seen")))))
+    return F.col("bar").isNull() | (F.col("most") > F.col("bar")) | ((F.col("most") == F.col("bar")) & level)
 
 
-def surviving_rows(facts: DataFrame, tasks: DataFrame, stats: DataFrame, task: list[str], most_rows: int, small: bool) -> DataFrame:
+def surviving_rows(facts: DataFrame, tasks: DataFrame, stats: DataFrame, task: list[str], most_rows: int, small: bool, small_bytes: int) -> DataFrame:
     """Every listing that can be among the first ``cap`` of a task, and few others.
 
     Each task meets the blocks of its portal and place. The blocks of the highest upper bounds are opened first, until they
     hold twice the cap; the lower bound that ``cap`` of their rows reach closes all blocks strictly below it, and
-    the rest is opened. No row that belongs to the answer is lost, ties included: a task whose rows
+    the rest is opened. Of rows that can at best draw level with the bar, only those stay that the order of equal scores does
+    not put behind it. No row that belongs to the answer is lost, ties included: a task whose rows
     may be relaxed and whose place has floors for some listings only keeps all its blocks.
     """
     facts_of_task = tasks.select(*task, "portal", "location_key", "q", "cap").join(stats, ["portal", "location_key"])
@@ -131,44 +158,72 @@ def surviving_rows(facts: DataFrame, tasks: DataFrame, stats: DataFrame, task: l
     before = Window.partitionBy(*task).orderBy(F.desc("most"), *BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     dealt = stage(
         met.withColumn("early", F.coalesce(F.sum("n").over(before), F.lit(0)) < 2 * F.col("cap"))
-        .select(*task, "q", "cap", "relaxable", "open_all", "most", "early", *BLOCK, "n"),
+        .select(*task, "q", "cap", "relaxable", "open_all", "most", "early", *BLOCK, "n", "least_price"),
         "blocks",
     )
-    first = stage(_open(dealt.filter("early"), facts, task), "first-rows")
+    # the listings stay where they are while the (task, block) rows can be sent to all tasks
+    size = dealt.agg(F.coalesce(F.sum(F.octet_length(F.to_json("q")) + 300), F.lit(0))).first()[0]
+    few = size <= small_bytes
+    first = stage(_open(dealt.filter("early"), facts, task, few), "first-rows")
     later = dealt.filter("not early").join(_bars(first, task, most_rows), task, "left")
-    later = later.filter(F.col("open_all") | (F.col("most") >= F.coalesce("bar", F.lit(-1))))
-    rows = stage(first.unionByName(_open(later, facts, task)), "rows")
+    later = later.withColumn("bar", F.when(~F.coalesce("open_all", F.lit(False)), F.col("bar")))
+    cheap = F.coalesce("least_price", F.lit(NO_PRICE)) <= F.col("bar_price")
+    later = later.filter(F.col("bar").isNull() | (F.col("most") > F.col("bar")) | ((F.col("most") == F.col("bar")) & cheap))
+    rest = _open(later.drop("most", "least_price"), facts, task, few, *BAR).filter(_reaches_bar()).drop(*BAR)
+    rows = first.unionByName(stage(rest, "later-rows"))
     open_all = dealt.filter("open_all").select(*task).distinct().withColumn("open_all", F.lit(True))
     bars = _bars(rows, task, most_rows).join(open_all, task, "left_anti")
-    return stage(rows.join(bars, task, "left").filter(F.col("most") >= F.coalesce("bar", F.lit(-1))).drop("bar", "least", "most", "cap"), "survivors")
+    return stage(rows.join(bars, task, "left").filter(_reaches_bar()).drop(*BAR, "least", "most", "cap"), "survivors")
 
 
-def read_rows(listings: DataFrame, survivors: DataFrame, tasks: DataFrame, task: list[str], signals: bool, hints: bool, small_bytes: int) -> DataFrame:
-    """Whole rows of the surviving listings, with their text signals and the hints of any task that they hold.
+def _hints_held(hints: Column) -> Column:
+    text = F.col("search_text")
+    return F.filter(hints, lambda h: (normalize_text(h) != "") & (text != "") & contains_term(text, normalize_text(h)))
 
-    Patterns run over these rows only, and every hint is looked up once per listing.
+
+def _digest(columns: list[str]) -> Column:
+    """Tells rows of one key apart, so that their signals and their texts are taken from the same one."""
+    return F.xxhash64(*columns).alias("digest")
+
+
+def read_signals(listings: DataFrame, survivors: DataFrame, tasks: DataFrame, task: list[str], signals: bool, hints: bool, small_bytes: int) -> DataFrame:
+    """Text signals of the surviving listings and the hints of the batch that they hold, one narrow row each.
+
+    Patterns run where the texts are read, and no text is written or moved by key: the surviving keys only filter the
+    listings, and Spark can do that before it joins a text to them. Only a batch of very many different hints brings each
+    listing the ones that its own tasks ask for.
     """
     asked = survivors.select(*ROW, *task)
-    if hints:
-        each = asked.join(tasks.select(*task, F.explode_outer("q.location_hints").alias("hint")), task)
-        wanted = each.groupBy(*ROW).agg(F.collect_set("hint").alias("asked_hints"))
-    else:
-        wanted = asked.select(*ROW).distinct().withColumn("asked_hints", F.array().cast(_TEXTS))
-    wanted = stage(wanted, "wanted")
-    size = wanted.agg(F.coalesce(F.sum(F.length("canonical_id") + 60 + 20 * F.size("asked_hints")), F.lit(0))).first()[0]
-    rows = with_row_key(listings).join(F.broadcast(wanted) if size <= small_bytes else wanted, ROW)
+    wanted = stage(asked.select(*ROW).distinct(), "wanted")
+    size = wanted.agg(F.coalesce(F.sum(F.length("canonical_id") + 60), F.lit(0))).first()[0]
+    rows = with_row_key(listings).join(F.broadcast(wanted) if size <= small_bytes else wanted, ROW, "left_semi")
+    none = F.array().cast(_TEXTS)
+    named = tasks.select(*task, F.explode("q.location_hints").alias("hint")).filter("hint IS NOT NULL") if hints else None
+    known = [r.hint for r in named.select("hint").distinct().limit(FEW_HINTS + 1).collect()] if hints else []
+    of_batch = F.array(*[F.lit(h) for h in known]).cast(_TEXTS) if known else none
+    if len(known) > FEW_HINTS:
+        rows = rows.join(asked.join(named, task).groupBy(*ROW).agg(F.collect_set("hint").alias("asked_hints")), ROW, "left")
+        of_batch = F.coalesce("asked_hints", none)
     prepared = prepare_listings(rows, text_signals=signals, hints=hints)
-    held = F.filter(
-        "asked_hints",
-        lambda h: (normalize_text(h) != "") & (F.col("search_text") != "") & contains_term(F.col("search_text"), normalize_text(h)),
-    )
-    picked = prepared.select(*listings.columns, *SIGNALS, (held if hints else F.col("asked_hints")).alias("held_hints"))
-    return stage(picked.dropDuplicates(ROW), "texts")
+    said = prepared.select(*ROW, _digest(listings.columns), *SIGNALS, (_hints_held(of_batch) if hints else none).alias("held_hints"))
+    one = said.groupBy(*ROW).agg(F.min_by(F.struct("digest", *SIGNALS, "held_hints"), "digest").alias("said"))
+    return stage(one.select(*ROW, "said.*"), "signals")
+
+
+def read_rows(listings: DataFrame, picked: DataFrame, small_bytes: int) -> DataFrame:
+    """Whole rows of the picked listings, each written once."""
+    wanted = stage(picked.select(*ROW, "digest").distinct(), "picked-keys")
+    size = wanted.agg(F.coalesce(F.sum(F.length("canonical_id") + 60), F.lit(0))).first()[0]
+    keys = wanted.select(*ROW)
+    rows = with_row_key(listings).join(F.broadcast(keys) if size <= small_bytes else keys, ROW, "left_semi")
+    rows = rows.withColumn("digest", _digest(listings.columns))
+    rows = rows.join(F.broadcast(wanted) if size <= small_bytes else wanted, [*ROW, "digest"], "left_semi")
+    return stage(rows.drop("digest").dropDuplicates(ROW), "texts")
 
 
 def score_survivors(survivors: DataFrame, rows: DataFrame, tasks: DataFrame, task: list[str], small: bool, open_floor: bool) -> DataFrame:
     """Exact scores and reasons, still without any listing text."""
-    said = rows.select(*ROW, *SIGNALS, "held_hints")
+    said = rows.select(*ROW, "digest", *SIGNALS, "held_hints")
     whole = survivors.drop("portal").join(F.broadcast(tasks) if small else tasks, task).join(said, ROW)
     matched = F.filter(_hint_bound(), lambda h: F.array_contains("held_hints", h))
     scored = with_score(whole, open_floor=open_floor, images=F.col("n_images"), hints=matched)

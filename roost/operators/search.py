@@ -12,7 +12,7 @@ from roost.functions.text import normalize_text, unique_strings
 from roost.operators import filters as flt
 from roost.operators.dedupe import collapse_duplicates, first_by_key
 from roost.operators.rank import listing_order, top_per_group
-from roost.operators.prune import ROW, SIGNALS, listing_facts, read_rows, score_survivors, surviving_rows, with_blocks
+from roost.operators.prune import ROW, listing_facts, read_rows, read_signals, score_survivors, surviving_rows, with_blocks
 from roost.plans.search_plan import criteria_for, plan_requests, plan_tasks, union_all
 from roost.sources.staging import stage
 
@@ -21,6 +21,8 @@ SALTS = 16
 RUN = "run_id"
 TASK = [RUN, "loc_pos", "src_pos"]
 _NONE = "array<string>"
+#: Listing columns that the order and the collapse need; the others are joined to the final rows.
+COMPARED = [*ROW, "portal", "portal_listing_id", "url", "title", "city", "price_eur", "rooms", "last_seen_at"]
 
 
 @dataclass
@@ -200,9 +202,9 @@ def run_search(
         )
     live = tasks.filter("error_code IS NULL").drop("source_kind", "warnings", "error_code", "error_message")
 
-    picked, stats = pick_rows(listings, live, profile, scope)
+    picked, stats, whole_rows = staged_picks(listings, live, profile, scope)
 
-    # everything below is keyed by run and holds at most 5 x 13 x 50 rows per run
+    # everything below is keyed by run and holds at most 5 x 13 x 50 rows per run, without their texts
     per_run = picked.repartition(RUN)
     arrival = [F.col("loc_pos"), F.col("src_pos"), F.col("task_rank")]
     whole = Window.partitionBy(RUN)
@@ -213,7 +215,8 @@ def run_search(
     ).withColumn("arrival", F.struct(*arrival))
     collapsed = collapse_duplicates(first_seen, RUN)
 
-    results = _final_rank(collapsed, profile)
+    texts = [c for c in listings.columns if c not in COMPARED]
+    results = _final_rank(collapsed, profile).join(whole_rows.select(*ROW, *texts), ROW)
     coverage = _coverage(tasks, stats, picked)
     diagnostics = _diagnostics(runs, coverage, collapsed)
     failures = _failures(coverage)
@@ -230,10 +233,16 @@ def run_search(
 
 
 def pick_rows(listings: DataFrame, live: DataFrame, profile: PlanProfile, scope: str) -> tuple[DataFrame, DataFrame]:
-    """The first rows of every task with their scores, and the counts per place: both staged.
+    """The first rows of every task, whole and with their scores, and the counts per place."""
+    picked, stats, rows = staged_picks(listings, live, profile, scope)
+    return picked.join(rows.drop(*[c for c in COMPARED if c not in ROW]), ROW), stats
+
+
+def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, scope: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first rows of every task with their scores, the counts per place, and the whole listings picked: all staged.
 
     Numbers first: bounds of the score from a block index decide which listings a task can still pick; only their texts
-    are searched, and whole rows are joined to what the top-k leaves.
+    are searched, and whole rows are read for what the top-k leaves.
     """
     facts = listing_facts(listings)
     keyed = []
@@ -247,11 +256,13 @@ def pick_rows(listings: DataFrame, live: DataFrame, profile: PlanProfile, scope:
         keyed.append(facts.withColumn("location_key", F.lit(rules.DISCOVERY)))
     facts = stage(with_blocks(union_all(keyed)), "facts")
     stats = stage(listing_stats(facts), "stats")
-    survivors = surviving_rows(facts, live, stats, TASK, profile.max_cap, profile.small)
-    rows = read_rows(listings, survivors, live, TASK, profile.signals, profile.hints, BROADCAST_BYTES)
-    scored = score_survivors(survivors, rows, live, TASK, profile.small, profile.floors)
-    ranked = _pick_per_task(scored, live, stats, profile).drop(*[c for c in listings.columns if c not in (*ROW, "portal")])
-    return stage(ranked.drop("portal").join(rows.drop(*SIGNALS, "held_hints"), ROW), "picked"), stats
+    survivors = surviving_rows(facts, live, stats, TASK, profile.max_cap, profile.small, BROADCAST_BYTES)
+    said = read_signals(listings, survivors, live, TASK, profile.signals, profile.hints, BROADCAST_BYTES)
+    scored = score_survivors(survivors, said, live, TASK, profile.small, profile.floors)
+    kept = [c for c in listings.columns if c not in (*ROW, "portal")]
+    ranked = stage(_pick_per_task(scored, live, stats, profile).drop(*kept), "ranked")
+    rows = read_rows(listings, ranked, BROADCAST_BYTES)
+    return stage(ranked.drop("portal", "digest").join(rows.select(*COMPARED), ROW), "picked"), stats, rows
 
 
 def _pick_per_task(scored: DataFrame, live: DataFrame, stats: DataFrame, profile: PlanProfile) -> DataFrame:
