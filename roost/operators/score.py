@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roost import rules
 from roost.functions.numbers import extract_floor, extract_floor_loose, round_half_up
-from roost.functions.text import contains_term, normalize_text
+from roost.functions.text import contains_term, normalize_text, says
 from roost.operators import filters as flt
 
 # Columns added by prepare_listings; dropped again before rows are published.
@@ -35,7 +35,7 @@ def prepare_listings(listings: DataFrame, text_signals: bool = True, hints: bool
     # patterns run case-sensitively over text lower-cased once: several times cheaper than
     # a case-folding match at every position
     def signal(pattern: str, source: str = "_text") -> Column:
-        return F.coalesce(F.col(source).rlike(rules.lower_pattern(pattern)), no_signal) if text_signals else no_signal
+        return F.coalesce(says(F.col(source), rules.lower_pattern(pattern)), no_signal) if text_signals else no_signal
 
     searchable = F.array_join(F.array(F.coalesce("city", empty), F.coalesce("title", empty), text, path), " ")
     return listings.select(

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from roost import schema
+from roost import rules, schema
 from roost.functions import numbers as n
 from roost.functions import text as t
 from roost.functions import urls as u
@@ -119,3 +119,16 @@ def test_rate_limit_stream(spark, tmp_path):
     finally:
         query.stop()
     assert {k: r.n_in_window for k, r in rows.items()} == EXPECTED and not rows[3].allowed
+
+
+def test_word_patterns_are_found_as_words_with_the_same_answer(spark):
+    words = [w for _, p in rules.TYPE_WORDS + rules.TAG_PATTERNS for w in p.removeprefix("(?iu)").replace("(?:", "").replace(")", "").split("|")]
+    texts = [None, "", "Well-Lit", "luminosas", "panorám", "panoram", "montaña", "montana", "exteriores", "un exterior.", "xexterior",
+             "outside-facing", "east facing", "views", "finca rústica", "toda exterior", *[f"a{w}b" for w in words], *[f"un {w[:-1]}" for w in words]]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    patterns = [rules.lower_pattern(p) for _, p in rules.TYPE_WORDS + rules.TAG_PATTERNS] + ["a+b", "x?", "(?:piso|[0-9])"]
+    same = rows.select(*[t.says(F.lower("x"), p).eqNullSafe(F.lower("x").rlike(p)).alias(str(i)) for i, p in enumerate(patterns)])
+    assert all(all(r) for r in same.collect())
+    # plain words are no pattern any more: only the one pattern with word borders is left among the tags
+    plan = rows.select(*[t.says(F.col("x"), rules.lower_pattern(p)).alias(n) for n, p in rules.TAG_PATTERNS])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
