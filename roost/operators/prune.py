@@ -19,6 +19,8 @@ SIGNALS = ["light_text", "exterior_text", "window_text", "orientation_text", "re
 BAND_EUR = 50_000
 #: Up to so many different hints of a batch are looked up in every text that is read.
 FEW_HINTS = 64
+#: Bits of the fixed map that stands for keys too many to be sent to all tasks: 32 MB.
+KEY_BITS = 1 << 28
 _TEXTS = "array<string>"
 
 
@@ -186,17 +188,42 @@ def _digest(columns: list[str]) -> Column:
     return F.xxhash64(*columns).alias("digest")
 
 
+def key_map(wanted: DataFrame) -> DataFrame:
+    """(part, bits): a map of fixed size with the bits that the hashed keys of ``wanted`` set."""
+    at = _key_bit()
+    return wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def _key_bit() -> Column:
+    return F.pmod(F.xxhash64(*ROW), F.lit(KEY_BITS))
+
+
+def rows_of_keys(listings: DataFrame, wanted: DataFrame, size: int, small_bytes: int) -> DataFrame:
+    """Listings whose key is in ``wanted``; where the keys are many, also some whose key shares a bit with one of them.
+
+    Either way the listings are filtered where they are read. A join by key would first move all their texts, as Spark does
+    not put a join that it shuffles in front of the ones that bring the texts.
+    """
+    rows = with_row_key(listings)
+    if size <= small_bytes:
+        return rows.join(F.broadcast(wanted), ROW, "left_semi")
+    position = F.bitmap_bit_position(_key_bit())
+    octet = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("part", F.bitmap_bucket_number(_key_bit())).join(F.broadcast(key_map(wanted)), "part")
+    return met.filter(F.getbit(octet, (position % 8).cast("int")) == 1).drop("part", "bits")
+
+
 def read_signals(listings: DataFrame, survivors: DataFrame, tasks: DataFrame, task: list[str], signals: bool, hints: bool, small_bytes: int) -> DataFrame:
     """Text signals of the surviving listings and the hints of the batch that they hold, one narrow row each.
 
     Patterns run where the texts are read, and no text is written or moved by key: the surviving keys only filter the
-    listings, and Spark can do that before it joins a text to them. Only a batch of very many different hints brings each
-    listing the ones that its own tasks ask for.
+    listings (``rows_of_keys``; signals of the few others that it lets through meet no surviving row). Only a batch of very
+    many different hints brings each listing the ones that its own tasks ask for.
     """
     asked = survivors.select(*ROW, *task)
     wanted = stage(asked.select(*ROW).distinct(), "wanted")
     size = wanted.agg(F.coalesce(F.sum(F.length("canonical_id") + 60), F.lit(0))).first()[0]
-    rows = with_row_key(listings).join(F.broadcast(wanted) if size <= small_bytes else wanted, ROW, "left_semi")
+    rows = rows_of_keys(listings, wanted, size, small_bytes)
     none = F.array().cast(_TEXTS)
     named = tasks.select(*task, F.explode("q.location_hints").alias("hint")).filter("hint IS NOT NULL") if hints else None
     known = [r.hint for r in named.select("hint").distinct().limit(FEW_HINTS + 1).collect()] if hints else []
@@ -214,8 +241,7 @@ def read_rows(listings: DataFrame, picked: DataFrame, small_bytes: int) -> DataF
     """Whole rows of the picked listings, each written once."""
     wanted = stage(picked.select(*ROW, "digest").distinct(), "picked-keys")
     size = wanted.agg(F.coalesce(F.sum(F.length("canonical_id") + 60), F.lit(0))).first()[0]
-    keys = wanted.select(*ROW)
-    rows = with_row_key(listings).join(F.broadcast(keys) if size <= small_bytes else keys, ROW, "left_semi")
+    rows = rows_of_keys(listings, wanted.select(*ROW), size, small_bytes)
     rows = rows.withColumn("digest", _digest(listings.columns))
     rows = rows.join(F.broadcast(wanted) if size <= small_bytes else wanted, [*ROW, "digest"], "left_semi")
     return stage(rows.drop("digest").dropDuplicates(ROW), "texts")
