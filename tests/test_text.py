@@ -132,3 +132,32 @@ def test_word_patterns_are_found_as_words_with_the_same_answer(spark):
     # plain words are no pattern any more: only the one pattern with word borders is left among the tags
     plan = rows.select(*[t.says(F.col("x"), rules.lower_pattern(p)).alias(n) for n, p in rules.TAG_PATTERNS])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 1
+
+
+def test_blanks_and_quick_patterns(spark):
+    odd = [" ﻿ a  b\t", " \t ", "", "x", "　", "a  b\tc d ", None]
+    assert each(spark, odd, t.trim_ws) == ["a  b", "", "", "x", "", "a  b\tc d", None]
+    assert each(spark, odd, t.collapse_ws) == ["a b", "", "", "x", "", "a b c d", None]
+    quick = t.quickly(rules.BOT_BLOCK)
+    assert quick.startswith("(?=")
+    pages = ["x PARDON our interruption", "enable javascript", "Sentimos la interrupciÓn", "acceſſ denied", "daſa", "forbid den", "", None]
+    plain = each(spark, pages, lambda x: x.rlike(rules.BOT_BLOCK), "string")
+    assert each(spark, pages, lambda x: x.rlike(quick), "string") == plain == [True, True, True, True, False, False, False, None]
+    assert t.quickly(r"(?iu)a\s*b|cd") == r"(?iu)a\s*b|cd"
+
+
+def test_lazy_captures_span_lines_and_symbols(spark):
+    from roost.operators.portals import common as c
+
+    pattern = c.inner("div", "txt")
+    assert r"[\s\S]" not in pattern
+    blocks = ['<DIV class="big txt">a\r\n \U0001f600<b>b</b></Div></div>', '<div class="txt">open', "<div class='txt'></div>"]
+    assert each(spark, blocks, lambda b: t.first_match(b, pattern)) == ["a\r\n \U0001f600<b>b</b>", None, ""]
+
+
+def test_spread_by_several_keys(spark):
+    from roost.sources.views import spread
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), (F.col("id") % 11).alias("b"))
+    placed = spread(rows, "a", "b").select("a", "b", F.spark_partition_id().alias("p")).distinct()
+    assert placed.count() == 77 and placed.select("p").distinct().count() > 1
