@@ -102,10 +102,17 @@ def _may_hold() -> Column:
     )
 
 
-def _open(blocks: DataFrame, facts: DataFrame, task: list[str], small: bool, *bar: str) -> DataFrame:
-    """Listings of the opened (task, block) rows that meet the constraints, with both bounds of their score."""
-    opened = blocks.select(*task, "q", "cap", "relaxable", *bar, *BLOCK)
-    rows = facts.join(F.broadcast(opened) if small else opened, BLOCK).filter(flt.base_ok()).withColumn("floor_pass", flt.floor_ok())
+def _open(blocks: DataFrame, facts: DataFrame, known: DataFrame, task: list[str], few: bool, small: bool) -> DataFrame:
+    """Listings of the opened (task, block) rows that meet the constraints, with both bounds of their score.
+
+    What is asked is joined by task (``known``) and not carried by every block, unless the tasks are too many to be sent.
+    """
+    opened = blocks.select(*task, *BLOCK)
+    if small:
+        rows = facts.join(F.broadcast(opened) if few else opened, BLOCK).join(F.broadcast(known), task)
+    else:
+        rows = facts.join(opened.join(known, task), BLOCK)
+    rows = rows.filter(flt.base_ok()).withColumn("floor_pass", flt.floor_ok())
     rows = rows.filter(F.col("floor_pass") | F.col("relaxable")).withColumn("_city", flt.has_city() & flt.city_match())
     return rows.withColumns({"least": _least(F.col("_city")), "most": _most(F.col("_city"))}).drop("_city", "q", "relaxable", *BLOCK[1:], "floor_loose")
 
@@ -160,22 +167,29 @@ def surviving_rows(facts: DataFrame, tasks: DataFrame, stats: DataFrame, task: l
     before = Window.partitionBy(*task).orderBy(F.desc("most"), *BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     dealt = stage(
         met.withColumn("early", F.coalesce(F.sum("n").over(before), F.lit(0)) < 2 * F.col("cap"))
-        .select(*task, "q", "cap", "relaxable", "open_all", "most", "early", *BLOCK, "n", "least_price"),
+        .select(*task, "open_all", "most", "early", *BLOCK, "least_price"),
         "blocks",
     )
     # the listings stay where they are while the (task, block) rows can be sent to all tasks
-    size = dealt.agg(F.coalesce(F.sum(F.octet_length(F.to_json("q")) + 300), F.lit(0))).first()[0]
-    few = size <= small_bytes
-    first = stage(_open(dealt.filter("early"), facts, task, few), "first-rows")
-    later = dealt.filter("not early").join(_bars(first, task, most_rows), task, "left")
+    width = F.octet_length(F.to_json(F.struct(*task))) + F.octet_length(F.concat_ws("", "portal", "location_key", "kind")) + 100
+    size = dealt.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    few = small and size <= small_bytes
+    asked = stage(known.select(*task, "q", "cap", "relaxable"), "asked")
+    first = stage(_open(dealt.filter("early"), facts, asked, task, few, small), "first-rows")
+    sent = lambda bars: F.broadcast(bars) if small else bars
+    bars = stage(_bars(first, task, most_rows), "first-bars")
+    later = dealt.filter("not early").join(sent(bars), task, "left")
     later = later.withColumn("bar", F.when(~F.coalesce("open_all", F.lit(False)), F.col("bar")))
     cheap = F.coalesce("least_price", F.lit(NO_PRICE)) <= F.col("bar_price")
     later = later.filter(F.col("bar").isNull() | (F.col("most") > F.col("bar")) | ((F.col("most") == F.col("bar")) & cheap))
-    rest = _open(later.drop("most", "least_price"), facts, task, few, *BAR).filter(_reaches_bar()).drop(*BAR)
+    # a task that opens all its blocks has no bar
+    open_all = stage(dealt.filter("open_all").select(*task).distinct(), "open-all")
+    barred = asked.join(sent(bars.join(sent(open_all), task, "left_anti")), task, "left")
+    rest = _open(later, facts, barred, task, few, small).filter(_reaches_bar()).drop(*BAR)
     rows = first.unionByName(stage(rest, "later-rows"))
-    open_all = dealt.filter("open_all").select(*task).distinct().withColumn("open_all", F.lit(True))
-    bars = _bars(rows, task, most_rows).join(open_all, task, "left_anti")
-    return stage(rows.join(bars, task, "left").filter(_reaches_bar()).drop(*BAR, "least", "most", "cap"), "survivors")
+    bars = stage(_bars(rows, task, most_rows).join(sent(open_all), task, "left_anti"), "bars")
+    # the rows are not moved for one bar per task
+    return stage(rows.join(sent(bars), task, "left").filter(_reaches_bar()).drop(*BAR, "least", "most", "cap"), "survivors")
 
 
 def _hints_held(hints: Column) -> Column:
@@ -250,7 +264,8 @@ def read_rows(listings: DataFrame, picked: DataFrame, small_bytes: int) -> DataF
 def score_survivors(survivors: DataFrame, rows: DataFrame, tasks: DataFrame, task: list[str], small: bool, open_floor: bool) -> DataFrame:
     """Exact scores and reasons, still without any listing text."""
     said = rows.select(*ROW, "digest", *SIGNALS, "held_hints")
-    whole = survivors.drop("portal").join(F.broadcast(tasks) if small else tasks, task).join(said, ROW)
+    # what a task asks comes last: rows that move by key do not carry it
+    whole = survivors.drop("portal").join(said, ROW).join(F.broadcast(tasks) if small else tasks, task)
     matched = F.filter(_hint_bound(), lambda h: F.array_contains("held_hints", h))
     scored = with_score(whole, open_floor=open_floor, images=F.col("n_images"), hints=matched)
     return scored.withColumn("locale", F.col("q.locale")).drop(

@@ -244,6 +244,9 @@ def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, sco
     Numbers first: bounds of the score from a block index decide which listings a task can still pick; only their texts
     are searched, and whole rows are read for what the top-k leaves.
     """
+    # a number stands for the task in all rows of numbers; the digest of its run would be most of such a row
+    live = stage(live.withColumn("task_no", F.monotonically_increasing_id()), "live")
+    task = ["task_no"]
     facts = listing_facts(listings)
     keyed = []
     if profile.located or not profile.discovery:
@@ -256,13 +259,13 @@ def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, sco
         keyed.append(facts.withColumn("location_key", F.lit(rules.DISCOVERY)))
     facts = stage(with_blocks(union_all(keyed)), "facts")
     stats = stage(listing_stats(facts), "stats")
-    survivors = surviving_rows(facts, live, stats, TASK, profile.max_cap, profile.small, BROADCAST_BYTES)
-    said = read_signals(listings, survivors, live, TASK, profile.signals, profile.hints, BROADCAST_BYTES)
-    scored = score_survivors(survivors, said, live, TASK, profile.small, profile.floors)
+    survivors = surviving_rows(facts, live, stats, task, profile.max_cap, profile.small, BROADCAST_BYTES)
+    said = read_signals(listings, survivors, live, task, profile.signals, profile.hints, BROADCAST_BYTES)
+    scored = score_survivors(survivors, said, live, task, profile.small, profile.floors)
     kept = [c for c in listings.columns if c not in (*ROW, "portal")]
     ranked = stage(_pick_per_task(scored, live, stats, profile).drop(*kept), "ranked")
     rows = read_rows(listings, ranked, BROADCAST_BYTES)
-    return stage(ranked.drop("portal", "digest").join(rows.select(*COMPARED), ROW), "picked"), stats, rows
+    return stage(ranked.drop("portal", "digest", "task_no").join(rows.select(*COMPARED), ROW), "picked"), stats, rows
 
 
 def _pick_per_task(scored: DataFrame, live: DataFrame, stats: DataFrame, profile: PlanProfile) -> DataFrame:

@@ -75,3 +75,19 @@ def test_bounds_enclose_the_score_of_every_pair(spark):
     rows = with_score(matched.withColumn("n_images", F.size("image_urls")))
     assert rows.filter((prune._least(city) > F.col("score")) | (prune._most(city) < F.col("score"))).isEmpty()
     assert not rows.filter(prune._least(city) < F.col("score")).isEmpty()
+
+
+def test_number_rows_carry_no_question(spark, monkeypatch):
+    """Rows per listing and task hold the number of the task: neither the question nor the digest of its run."""
+    written = {}
+
+    def noted(df, name):
+        written[name] = df.columns
+        return stage(df, name)
+
+    stage = prune.stage
+    monkeypatch.setattr(prune, "stage", noted)
+    tasks = plan_tasks(plan_requests(searches(spark)).withColumnRenamed("search_id", search.RUN), search.RUN).persist()
+    search.pick_rows(listings(spark, 200, 3), tasks, search.profile_tasks(tasks), "crawl")
+    for name in ("blocks", "first-rows", "later-rows", "survivors"):
+        assert "task_no" in written[name] and not {"q", "run_id"} & set(written[name])
