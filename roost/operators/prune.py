@@ -21,6 +21,8 @@ BAND_EUR = 50_000
 FEW_HINTS = 64
 #: Bits of the fixed map that stands for keys too many to be sent to all tasks: 32 MB.
 KEY_BITS = 1 << 28
+#: Bits of a part of the map, as ``bitmap_construct_agg`` builds them.
+PART_BITS = 1 << 15
 _TEXTS = "array<string>"
 
 
@@ -203,28 +205,32 @@ def _digest(columns: list[str]) -> Column:
 
 
 def key_map(wanted: DataFrame) -> DataFrame:
-    """(part, bits): a map of fixed size with the bits that the hashed keys of ``wanted`` set."""
+    """(bits): one row, a map of fixed size with the bits that the hashed keys of ``wanted`` set, in parts by their number."""
     at = _key_bit()
-    return wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
+    # parts are numbered from 1; those without a key are null
+    every = wanted.sparkSession.range(1, KEY_BITS // PART_BITS + 1, 1, 1).withColumnRenamed("id", "part").join(F.broadcast(parts), "part", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "set"))), lambda p: p["set"]).alias("bits"))
 
 
 def _key_bit() -> Column:
     return F.pmod(F.xxhash64(*ROW), F.lit(KEY_BITS))
 
 
+def _in_map(bits: Column) -> Column:
+    position = F.bitmap_bit_position(_key_bit())
+    octet = F.substring(F.get(bits, (F.bitmap_bucket_number(_key_bit()) - 1).cast("int")), F.floor(position / 8).cast("int") + 1, F.lit(1))
+    return F.coalesce(F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), (position % 8).cast("int")) == 1, F.lit(False))
+
+
 def rows_of_keys(listings: DataFrame, wanted: DataFrame, size: int, small_bytes: int) -> DataFrame:
     """Listings whose key is in ``wanted``; where the keys are many, also some whose key shares a bit with one of them.
 
-    Either way the listings are filtered where they are read. A join by key would first move all their texts, as Spark does
-    not put a join that it shuffles in front of the ones that bring the texts.
+    The map of the keys is a condition on the key alone, which Spark tests where the key is read, in front of the joins that
+    bring the texts. A join by key stays behind them: only what the map lets through is moved.
     """
-    rows = with_row_key(listings)
-    if size <= small_bytes:
-        return rows.join(F.broadcast(wanted), ROW, "left_semi")
-    position = F.bitmap_bit_position(_key_bit())
-    octet = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.withColumn("part", F.bitmap_bucket_number(_key_bit())).join(F.broadcast(key_map(wanted)), "part")
-    return met.filter(F.getbit(octet, (position % 8).cast("int")) == 1).drop("part", "bits")
+    rows = with_row_key(listings).filter(_in_map(key_map(wanted).scalar()))
+    return rows.join(F.broadcast(wanted), ROW, "left_semi") if size <= small_bytes else rows
 
 
 def read_signals(listings: DataFrame, survivors: DataFrame, tasks: DataFrame, task: list[str], signals: bool, hints: bool, small_bytes: int) -> DataFrame:

@@ -247,17 +247,19 @@ def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, sco
     # a number stands for the task in all rows of numbers; the digest of its run would be most of such a row
     live = stage(live.withColumn("task_no", F.monotonically_increasing_id()), "live")
     task = ["task_no"]
-    facts = listing_facts(listings)
+    facts = listing_facts(listings).withColumn("crawl_key", normalize_text(F.col("crawl_location")))
+    # a listing is written once; that it is met under its place and anywhere is said when it is read
+    facts = stage(facts, "numbers")
     keyed = []
     if profile.located or not profile.discovery:
         keyed.append(
-            facts.withColumn("location_key", normalize_text(F.col("crawl_location")))
-            if scope == "crawl"
-            else add_city_keys(facts, profile.max_words, profile.max_slug)
+            facts.withColumn("location_key", F.col("crawl_key")) if scope == "crawl" else add_city_keys(facts, profile.max_words, profile.max_slug)
         )
     if profile.discovery:
         keyed.append(facts.withColumn("location_key", F.lit(rules.DISCOVERY)))
-    facts = stage(with_blocks(union_all(keyed)), "facts")
+    facts = with_blocks(union_all(keyed)).drop("crawl_key")
+    if scope != "crawl":
+        facts = stage(facts, "facts")
     stats = stage(listing_stats(facts), "stats")
     survivors = surviving_rows(facts, live, stats, task, profile.max_cap, profile.small, BROADCAST_BYTES)
     said = read_signals(listings, survivors, live, task, profile.signals, profile.hints, BROADCAST_BYTES)

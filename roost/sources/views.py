@@ -62,11 +62,12 @@ def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.floor(F.col("o_orderkey") / 15).alias("doc_id")
     )
     rows = (
+        # first what is joined by the key that the orders are spread by: they stay where they are
         spread(orders, "o_orderkey")
-        .join(customer, "o_custkey")
-        .join(nation, "n_nationkey")
         .join(first_line, "o_orderkey", "left")
         .join(part, "p_partkey", "left")
+        .join(customer, "o_custkey")
+        .join(nation, "n_nationkey")
         .join(documents, "doc_id", "left")
     )
     ok, ck, nk = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
