@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 # The same characters, for F.btrim, and as a class that turns most letters away at its first test.
 WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WS_ASCII = r"\t\n\x0B\f\r"
+_WS_WIDE = r"[\u00A0\u1680-\uFEFF&&[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 _WS_QUICK = r"[\x00-\x20\u00A0\u1680-\uFEFF&&[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 # ASCII word boundaries: Java's \b counts accented letters as word letters.
 WB = r"(?<![A-Za-z0-9_])"
@@ -64,8 +66,13 @@ def trim_ws(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    # a single blank stays as it is, so most words cost no replacement
-    return F.trim(F.regexp_replace(c, rf"{_WS_QUICK}{{2,}}|(?! ){_WS_QUICK}", " "))
+    # a single blank stays as it is, so most words cost no replacement; few texts hold blanks beyond ASCII
+    def collapsed(text: Column) -> Column:
+        any_blank = F.regexp_replace(text, rf"{_WS_QUICK}{{2,}}|(?! ){_WS_QUICK}", " ")
+        ascii_blank = F.regexp_replace(text, rf"[ {_WS_ASCII}]{{2,}}|[{_WS_ASCII}]", " ")
+        return F.trim(F.when(text.rlike(_WS_WIDE), any_blank).otherwise(ascii_blank))
+
+    return let(c, collapsed)
 
 
 def not_blank(c: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roost import rules
-from roost.functions.text import WB, first_match, normalize_text, not_blank, quickly, trim_ws, unique_strings
+from roost.functions.text import WB, first_match, let, normalize_text, not_blank, quickly, trim_ws, unique_strings
 
 CHALLENGE = {
     "idealista": (
@@ -18,6 +19,17 @@ CHALLENGE = {
     "yaencontre": r"(?i)captcha-delivery\.com|please enable js and disable any ad blocker|datadome|access denied",
 }
 BOT_BLOCK = quickly(rules.BOT_BLOCK)
+#: In lower case, texts of which every page that a pattern above matches holds one; of several in a tuple it holds all.
+CHALLENGE_WORDS = {
+    "idealista": [
+        "captcha-delivery.com", "please enable js and disable any ad blocker", "sentimos la interrupci", "pardon our interruption",
+        ("{", "var"),
+    ],
+}
+BOT_WORDS = [
+    "pardon our interruption", "as you were browsing something about your browser", "enable javascript", "access denied", "forbidden",
+    "datadome", "sentimos la interrupci", "complete the captcha below", "interruption-message",
+]
 TITLE_ERROR = r"(?i)<title>\s*Error\s*(?:404|500)(?![A-Za-z0-9_])"
 
 
@@ -118,8 +130,28 @@ def _per_portal(value, default) -> Column:
     return out.otherwise(default)
 
 
+def _matches(html: Column, pattern: str, words: list[str | tuple[str, ...]] | None) -> Column:
+    """``html.rlike(pattern)``, tried only on pages that hold words of the pattern.
+
+    ``(?iu)`` takes three letters for an s or an i that lower-casing leaves or spells otherwise; a page with one is tried too.
+    """
+    if words is None:
+        return F.coalesce(html.rlike(pattern), F.lit(False))
+
+    def tried(low: Column) -> Column:
+        held = F.lit(False)
+        for word in words:
+            parts = [F.contains(low, F.lit(w)) for w in ((word,) if isinstance(word, str) else word)]
+            held = held | reduce(Column.__and__, parts)
+        for letter in "\u017f\u0130\u0131":
+            held = held | F.contains(html, F.lit(letter))
+        return held & html.rlike(pattern)
+
+    return F.coalesce(let(F.lower(html), tried), F.lit(False))
+
+
 def looks_bot_blocked(html: Column) -> Column:
-    return F.coalesce(html.rlike(BOT_BLOCK), F.lit(False))
+    return _matches(html, BOT_BLOCK, BOT_WORDS)
 
 
 def challenge_id(html: Column, headers: Column) -> Column:
@@ -137,7 +169,7 @@ def challenge_id(html: Column, headers: Column) -> Column:
 def portal_page_class(name: str, status: Column, html: Column) -> Column:
     """Class of one fetched page of a known portal, before its listings are counted."""
     p = POLICIES[name]
-    challenge = F.coalesce(html.rlike(CHALLENGE.get(name, BOT_BLOCK)), F.lit(False))
+    challenge = _matches(html, CHALLENGE[name], CHALLENGE_WORDS.get(name)) if name in CHALLENGE else looks_bot_blocked(html)
     out = F.when(status.isNull() | (status == 0), "unavailable").when(status == 429, "rate_limited")
     if p.blocked:
         out = out.when(status.isin(list(p.blocked)), "blocked")
