@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roost.functions.text import WB, WE, WS, not_blank
+from roost.functions.text import WB, WE, WS, let, not_blank
 
 _DECIMAL = rf"^{WS}*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?{WS}*\z"
 
@@ -18,6 +18,7 @@ ROOMS = (
     rf"(?i)(?<![0-9])(?:[0-9]{{3}})*?([0-9]{{1,3}})(?![0-9]){WS}*"
     rf"(?>{'|'.join(ROOM_LABELS)})(?![A-Za-z])"
 )
+_ROOM_HEADS = "(?=[hHdDrR][aAoO][bBrRoO])(?:[hH][aA][bB]|[dD][oO][rR][mM]|[rR][oO][oO][mM])"
 GROUND_FLOOR = rf"(?iu){WB}(?:bajo|ground floor){WE}"
 FLOOR = r"(?iu)([0-9]{1,3})[ªa]?[ \t]{0,8}planta"
 FLOOR_LOOSE = rf"(?iu)([0-9]+)[ªa]?{WS}*planta"
@@ -36,7 +37,8 @@ def parse_number(c: Column) -> Column:
 
 def parse_rooms(c: Column) -> Column:
     """Number in front of the first room word."""
-    return not_blank(F.regexp_extract(c, ROOMS, 1)).try_cast("double")
+    # what a room word begins with is looked for first: few texts without rooms hold it
+    return let(c, lambda text: F.when(text.rlike(_ROOM_HEADS), not_blank(F.regexp_extract(text, ROOMS, 1)).try_cast("double")))
 
 
 def round_half_up(c: Column) -> Column:

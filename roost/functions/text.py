@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 # The same characters, for F.btrim, and as a class that turns most letters away at its first test.
 WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-_WS_ASCII = r"\t\n\x0B\f\r"
+_WS_ASCII = "\t\n\x0b\f\r"
 _WS_WIDE = r"[\u00A0\u1680-\uFEFF&&[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 _WS_QUICK = r"[\x00-\x20\u00A0\u1680-\uFEFF&&[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 # ASCII word boundaries: Java's \b counts accented letters as word letters.
@@ -44,8 +46,18 @@ def _fold_tables() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_tables()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated and planned once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+    # letters are looked up one by one, which is slow: ASCII has none to fold
+    return let(c, lambda text: F.when(is_ascii(text), text).otherwise(F.translate(text, FOLD_FROM, FOLD_TO)))
 
 
 def normalize_text(c: Column) -> Column:
@@ -66,11 +78,14 @@ def trim_ws(c: Column) -> Column:
 
 
 def collapse_ws(c: Column) -> Column:
-    # a single blank stays as it is, so most words cost no replacement; few texts hold blanks beyond ASCII
+    # few texts hold blanks beyond ASCII; of the others only one with blanks in a row needs a pattern
     def collapsed(text: Column) -> Column:
         any_blank = F.regexp_replace(text, rf"{_WS_QUICK}{{2,}}|(?! ){_WS_QUICK}", " ")
-        ascii_blank = F.regexp_replace(text, rf"[ {_WS_ASCII}]{{2,}}|[{_WS_ASCII}]", " ")
-        return F.trim(F.when(text.rlike(_WS_WIDE), any_blank).otherwise(ascii_blank))
+        plain = text
+        for blank in _WS_ASCII:
+            plain = F.replace(plain, F.lit(blank), F.lit(" "))
+        ascii_blank = let(plain, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x))
+        return F.trim(F.when(~is_ascii(text) & text.rlike(_WS_WIDE), any_blank).otherwise(ascii_blank))
 
     return let(c, collapsed)
 
@@ -89,11 +104,6 @@ def all_matches(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated and planned once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _decode_numeric(text: Column, pattern: str, to_hex) -> Column:
     """Replace every numeric reference matching ``pattern`` by its character.
 
@@ -145,14 +155,19 @@ def decode_entities(c: Column, extra: list[tuple[str, str]] | None = None) -> Co
     return let(c, decoded)
 
 
+def _without(c: Column, pattern: str) -> Column:
+    """Tags that match ``pattern`` turned to blanks; most texts have none."""
+    return let(c, lambda text: F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, pattern, " ")).otherwise(text))
+
+
 def strip_tags(c: Column) -> Column:
     """Visible text of an HTML fragment; an unterminated tag swallows the rest."""
-    return collapse_ws(decode_entities(F.regexp_replace(c, r"<[^>]*(?:>|\z)", " ")))
+    return collapse_ws(decode_entities(_without(c, r"<[^>]*(?:>|\z)")))
 
 
 def strip_closed_tags(c: Column, extra: list[tuple[str, str]] | None = None) -> Column:
     """As ``strip_tags`` but only tags with a closing ``>`` are removed."""
-    return collapse_ws(decode_entities(F.regexp_replace(c, "<[^>]+>", " "), extra))
+    return collapse_ws(decode_entities(_without(c, "<[^>]+>"), extra))
 
 
 def unique_strings(arr: Column) -> Column:
@@ -200,19 +215,41 @@ def _spellings(parsed, most: int) -> list[str] | None:
     return out
 
 
+def _by_shared_part(words: list[str], least: int = 4) -> list[tuple[str, list[str]]]:
+    """``words`` in groups, each behind a part that all its words hold; a word that shares none is its own part."""
+    groups, left = [], list(words)
+    while left:
+        parts = {w[a:b] for w in left for a in range(len(w)) for b in range(a + least, len(w) + 1)} | set(left)
+        part = max(sorted(parts), key=lambda x: (sum(x in w for w in left), len(x)))
+        held = [w for w in left if part in w]
+        groups.append((part, held) if len(held) > 1 else (held[0], held))
+        left = [w for w in left if w not in held]
+    return groups
+
+
+def _any_in(text: Column, words: list[str]) -> Column:
+    hits = []
+    for part, held in _by_shared_part(words):
+        looks = reduce(or_, [F.contains(text, F.lit(w)) for w in held])
+        hits.append(looks if held == [part] else F.contains(text, F.lit(part)) & looks)
+    return reduce(or_, hits)
+
+
 def says(text: Column, pattern: str) -> Column:
     """``text.rlike(pattern)`` for case-sensitive patterns that are mostly lists of words.
 
-    Words are looked for as they stand, which is several times cheaper than trying a pattern at every position; a
-    pattern with lookarounds is still tried, but only on texts that hold one of its words.
+    Words are looked for as they stand, which is several times cheaper than trying a pattern at every position, and words
+    that share a part only in texts that hold it; a pattern with lookarounds is still tried, but only on texts that hold
+    one of its words, and between ``WB`` and ``WE`` not where one stands between blanks.
     """
     words = _spellings(re._parser.parse(pattern), 200)
     if not words or "" in words:
         return text.rlike(pattern)
-    words = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
-    found = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        found = found | F.contains(text, F.lit(word))
+    fewer = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    found = _any_in(text, fewer)
+    core = pattern.removeprefix(WB).removesuffix(WE)
+    if len(core) == len(pattern) - len(WB) - len(WE) and "(?" not in core.replace("(?:", "") and core.startswith("(?:"):
+        return found & (_any_in(text, [f" {w} " for w in dict.fromkeys(words)]) | text.rlike(pattern))
     return found & text.rlike(pattern) if "(?<" in pattern or "(?!" in pattern or "(?=" in pattern else found
 
 
