@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from roost.operators.rank import NO_PRICE, listing_order
 from roost.operators.score import matched_tags, points_of, prepare_listings, score_rules, with_score
 from roost.sources.staging import stage
 
+if TYPE_CHECKING:
+    from roost.operators.search import PlanProfile
+
 #: What tells one listing row from another.
 ROW = ["canonical_id", "seq"]
 BLOCK = ["portal", "location_key", "kind", "band", "room_band"]
@@ -23,6 +28,9 @@ FEW_HINTS = 64
 KEY_BITS = 1 << 28
 #: Bits of a part of the map, as ``bitmap_construct_agg`` builds them.
 PART_BITS = 1 << 15
+#: Up to so many (task, listing) rows have their texts read in one round, and times its cap a task reads in the first of two.
+READ_AT_ONCE = 400_000
+READ_FIRST = 10
 _TEXTS = "array<string>"
 
 
@@ -191,7 +199,8 @@ def surviving_rows(facts: DataFrame, tasks: DataFrame, stats: DataFrame, task: l
     rows = first.unionByName(stage(rest, "later-rows"))
     bars = stage(_bars(rows, task, most_rows).join(sent(open_all), task, "left_anti"), "bars")
     # the rows are not moved for one bar per task
-    return stage(rows.join(sent(bars), task, "left").filter(_reaches_bar()).drop(*BAR, "least", "most", "cap"), "survivors")
+    left = rows.join(sent(bars), task, "left").filter(_reaches_bar()).withColumn("barred", F.col("bar").isNotNull())
+    return stage(left.drop(*BAR, "least"), "survivors")
 
 
 def _hints_held(hints: Column) -> Column:
@@ -246,17 +255,48 @@ def read_signals(listings: DataFrame, survivors: DataFrame, tasks: DataFrame, ta
     rows = rows_of_keys(listings, wanted, size, small_bytes)
     none = F.array().cast(_TEXTS)
     named = tasks.select(*task, F.explode("q.location_hints").alias("hint")).filter("hint IS NOT NULL") if hints else None
-    known = [r.hint for r in named.select("hint").distinct().limit(FEW_HINTS + 1).collect()] if hints else []
+    spelled = named.select("hint", normalize_text("hint").alias("words")).distinct().limit(FEW_HINTS + 1).collect() if hints else []
+    known = [r.hint for r in spelled]
+    words = sorted({w for r in spelled for w in r.words.split(" ")} - {""})
     of_batch = F.array(*[F.lit(h) for h in known]).cast(_TEXTS) if known else none
     if len(known) > FEW_HINTS:
         rows = rows.join(asked.join(named, task).groupBy(*ROW).agg(F.collect_set("hint").alias("asked_hints")), ROW, "left")
         of_batch = F.coalesce("asked_hints", none)
-    prepared = prepare_listings(rows, text_signals=signals, hints=hints)
+        words = None
+    prepared = prepare_listings(rows, text_signals=signals, hints=hints, hint_words=words)
     said = prepared.select(*ROW, _digest(listings.columns), *SIGNALS, (_hints_held(of_batch) if hints else none).alias("held_hints"))
     one = said.groupBy(*ROW).agg(F.min_by(F.struct("digest", *SIGNALS, "held_hints"), "digest").alias("said"))
     return stage(one.select(*ROW, "said.*"), "signals")
 
 
+def read_in_rounds(
+    listings: DataFrame, survivors: DataFrame, tasks: DataFrame, task: list[str], profile: PlanProfile, small_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """The surviving rows that can be picked, and what the texts of their listings say (``read_signals``).
+
+    Many rows are read in two rounds: a task first reads its most promising rows, a few times its cap. The score that
+    ``cap`` of these have bars all other rows whose upper bound stays below it, as in ``surviving_rows`` but with what the
+    texts say counted, so only few of the others are read. Rows of tasks without a bar are all read.
+    """
+    numbers = ["most", "cap", "barred"]
+
+    def read(rows: DataFrame) -> DataFrame:
+        return read_signals(listings, rows, tasks, task, profile.signals, profile.hints, small_bytes)
+
+    if survivors.count() <= READ_AT_ONCE:
+        return survivors.drop(*numbers), read(survivors)
+    best = Window.partitionBy(*task).orderBy(F.desc("most"), *listing_order()[1:-1])
+    most_rows = READ_FIRST * profile.max_cap
+    first = survivors.filter("barred").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most_rows).filter(F.col("n") <= READ_FIRST * F.col("cap"))
+    first = stage(first.drop("n"), "read-first")
+    said = read(first)
+    scored = score_survivors(first.drop(*numbers), said, tasks, task, profile.small, False)
+    bars = stage(_bars(scored.withColumnRenamed("score", "least"), task, profile.max_cap), "exact-bars")
+    left = survivors.join(F.broadcast(bars) if profile.small else bars, task, "left").filter(_reaches_bar())
+    left = stage(left.drop(*BAR, *numbers), "left")
+    return left, said.unionByName(read(left.join(said.select(*ROW), ROW, "left_anti")))
+
+
 def read_rows(listings: DataFrame, picked: DataFrame, small_bytes: int) -> DataFrame:
     """Whole rows of the picked listings, each written once."""
     wanted = stage(picked.select(*ROW, "digest").distinct(), "picked-keys")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roost import rules
 from roost.functions.numbers import extract_floor, extract_floor_loose, round_half_up
-from roost.functions.text import contains_term, normalize_text, says
+from roost.functions.text import contains_term, fold_accents, let, normalize_text, says
 from roost.operators import filters as flt
 
 # Columns added by prepare_listings; dropped again before rows are published.
@@ -19,25 +21,31 @@ PREPARED = [
 ]
 
 
-def prepare_listings(listings: DataFrame, text_signals: bool = True, hints: bool = True) -> DataFrame:
+def prepare_listings(listings: DataFrame, text_signals: bool = True, hints: bool = True, hint_words: list[str] | None = None) -> DataFrame:
     """Everything about a listing that does not depend on the search, computed once per listing.
 
     ``text_signals`` and ``hints`` can be switched off when no search of the batch asks
-    for them, which keeps the long texts out of the scan.
+    for them, which keeps the long texts out of the scan. ``hint_words``, where given, are all words of the hints:
+    a description without one of them is not brought into words.
     """
     empty = F.lit("")
     chars = F.coalesce(F.col("chars"), F.array().cast("array<string>"))
     text = F.array_join(F.concat(F.array(F.coalesce("description", empty)), chars), " ")
-    listings = listings.withColumns({"_text": F.lower(text), "_own": F.lower(F.coalesce("description", empty))})
+    own = F.coalesce("description", empty)
+    listings = listings.withColumns({"_text": F.lower(text)})
     path = F.coalesce("source_path", empty)
     no_signal = F.lit(False)
 
     # patterns run case-sensitively over text lower-cased once: several times cheaper than
     # a case-folding match at every position
-    def signal(pattern: str, source: str = "_text") -> Column:
-        return F.coalesce(says(F.col(source), rules.lower_pattern(pattern)), no_signal) if text_signals else no_signal
-
-    searchable = F.array_join(F.array(F.coalesce("city", empty), F.coalesce("title", empty), text, path), " ")
+    def signal(pattern: str, source: Column | None = None) -> Column:
+        said = says(F.col("_text"), rules.lower_pattern(pattern))
+        # what a part says the whole says: most parts are not looked at
+        said = said if source is None else said & says(F.lower(source), rules.lower_pattern(pattern))
+        return F.coalesce(said, no_signal) if text_signals else no_signal
+
+    before = F.concat_ws(" ", F.coalesce("city", empty), F.coalesce("title", empty))
+    after = F.array_join(F.concat(chars, F.array(path)), " ")
     return listings.select(
         "*",
         normalize_text(F.coalesce("city", empty)).alias("city_norm"),
@@ -48,9 +56,22 @@ def prepare_listings(listings: DataFrame, text_signals: bool = True, hints: bool
         signal(rules.EXTERIOR).alias("exterior_text"),
         signal(rules.WINDOWS).alias("window_text"),
         signal(rules.ORIENTATION).alias("orientation_text"),
-        signal(rules.RENOVATION_TEXT, "_own").alias("renovation_text"),
-        (normalize_text(searchable) if hints else empty).alias("search_text"),
-    ).drop("_text", "_own")
+        signal(rules.RENOVATION_TEXT, own).alias("renovation_text"),
+        (_search_text(before, own, after, hint_words) if hints else empty).alias("search_text"),
+    ).drop("_text")
+
+
+def _search_text(before: Column, long: Column, after: Column, wanted: list[str] | None) -> Column:
+    """``normalize_text`` of the three texts; a bar stands for the ``long`` one where it has words but none of the ``wanted`` ones.
+
+    No term reaches over the bar, so nothing else is found, and a term that begins or ends in the long text has a word in it.
+    """
+    whole = normalize_text(F.concat_ws(" ", before, long, after))
+    if wanted is None:
+        return whole
+    held = lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in wanted], F.lit(False))
+    silent = long.rlike("[A-Za-z0-9]") & ~let(long, lambda t: held(F.lower(fold_accents(t))))
+    return F.when(silent, F.concat_ws(" | ", normalize_text(before), normalize_text(after))).otherwise(whole)
 
 
 def _q(name: str) -> Column:

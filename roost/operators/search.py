@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from roost.functions.text import normalize_text, unique_strings
 from roost.operators import filters as flt
 from roost.operators.dedupe import collapse_duplicates, first_by_key
 from roost.operators.rank import listing_order, top_per_group
-from roost.operators.prune import ROW, listing_facts, read_rows, read_signals, score_survivors, surviving_rows, with_blocks
+from roost.operators.prune import ROW, listing_facts, read_in_rounds, read_rows, score_survivors, surviving_rows, with_blocks
 from roost.plans.search_plan import criteria_for, plan_requests, plan_tasks, union_all
 from roost.sources.staging import stage
 
@@ -25,15 +27,42 @@ _NONE = "array<string>"
 COMPARED = [*ROW, "portal", "portal_listing_id", "url", "title", "city", "price_eur", "rooms", "last_seen_at"]
 
 
-@dataclass
 class SearchOutput:
-    """Result tables of a batch of searches, all keyed by ``search_id``."""
+    """Result tables of a batch of searches, all keyed by ``search_id``.
+
+    The passes over the listings run once, when the first table that needs them is asked for: ``failures`` and
+    ``action_required`` hang on the tasks and on what reading the portals gave alone.
+    """
+
+    def __init__(self, requests: DataFrame, tasks: DataFrame, passes: Callable[[], tuple[DataFrame, DataFrame, DataFrame]]) -> None:
+        self._requests, self._tasks, self._passes = requests, tasks, passes
+
+    def _publish(self, of_runs: DataFrame) -> DataFrame:
+        return self._requests.select("search_id", RUN).join(of_runs, RUN).drop(RUN)
+
+    @cached_property
+    def _of_runs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self._passes()
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return self._publish(self._of_runs[0])
 
-    results: DataFrame
-    coverage: DataFrame
-    diagnostics: DataFrame
-    failures: DataFrame
-    action_required: DataFrame
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return self._publish(self._of_runs[1])
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return self._publish(self._of_runs[2].join(_failures(self._tasks).select(RUN), RUN, "left_anti"))
+
+    @cached_property
+    def failures(self) -> DataFrame:
+        return self._publish(_failures(self._tasks))
+
+    @cached_property
+    def action_required(self) -> DataFrame:
+        return _action_required(self._requests)
 
 
 @dataclass
@@ -172,8 +201,8 @@ def run_search(
 ) -> SearchOutput:
     """Run every saved search over the stored listings.
 
-    The passes over the listings run here, once, and are staged in the shared checkpoint
-    folder; the returned tables are lazy and read only the staged, bounded rows.
+    Requests and tasks are staged here. The passes over the listings run once, when the first table that needs them is
+    asked for, and are staged in the shared checkpoint folder; the returned tables read only the staged, bounded rows.
 
     ``outcomes`` holds what reading each (portal, place) gave (``schema.OUTCOME``); a pair
     with an error code contributes no listings. ``scope`` is ``crawl`` (listings belong to
@@ -181,18 +210,17 @@ def run_search(
     """
     requests = stage(_shared_runs(plan_requests(searches, max_tasks)), "requests")
     runs = requests.dropDuplicates([RUN]).drop("search_id")
-    tasks = stage(plan_tasks(runs, RUN), "tasks")
-    profile = profile_tasks(tasks)
+    planned = stage(plan_tasks(runs, RUN), "tasks")
 
     if outcomes is not None:
         # one row per (portal, place); joined to the small task table, not to the listings
-        tasks = tasks.join(
+        tasks = planned.join(
             outcomes.select("portal", "location_key", "source_kind", "warnings", "error_code", "error_message"),
             ["portal", "location_key"],
             "left",
         )
     else:
-        tasks = tasks.withColumns(
+        tasks = planned.withColumns(
             {
                 "source_kind": F.lit(None).cast("string"),
                 "warnings": F.lit(None).cast(_NONE),
@@ -200,6 +228,11 @@ def run_search(
                 "error_message": F.lit(None).cast("string"),
             }
         )
+    return SearchOutput(requests, tasks, lambda: _run_passes(listings, runs, tasks, profile_tasks(planned), scope))
+
+
+def _run_passes(listings: DataFrame, runs: DataFrame, tasks: DataFrame, profile: PlanProfile, scope: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, coverage and diagnostics by run."""
     live = tasks.filter("error_code IS NULL").drop("source_kind", "warnings", "error_code", "error_message")
 
     picked, stats, whole_rows = staged_picks(listings, live, profile, scope)
@@ -218,18 +251,7 @@ def run_search(
     texts = [c for c in listings.columns if c not in COMPARED]
     results = _final_rank(collapsed, profile).join(whole_rows.select(*ROW, *texts), ROW)
     coverage = _coverage(tasks, stats, picked)
-    diagnostics = _diagnostics(runs, coverage, collapsed)
-    failures = _failures(coverage)
-
-    ids = requests.select("search_id", RUN)
-    publish = lambda df: ids.join(df, RUN).drop(RUN)
-    return SearchOutput(
-        results=publish(results),
-        coverage=publish(coverage),
-        diagnostics=publish(diagnostics.join(failures.select(RUN), RUN, "left_anti")),
-        failures=publish(failures),
-        action_required=_action_required(requests),
-    )
+    return results, coverage, _diagnostics(runs, coverage, collapsed)
 
 
 def pick_rows(listings: DataFrame, live: DataFrame, profile: PlanProfile, scope: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +264,7 @@ def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, sco
     """The first rows of every task with their scores, the counts per place, and the whole listings picked: all staged.
 
     Numbers first: bounds of the score from a block index decide which listings a task can still pick; only their texts
-    are searched, and whole rows are read for what the top-k leaves.
+    are searched, those of the most promising ones first, and whole rows are read for what the top-k leaves.
     """
     # a number stands for the task in all rows of numbers; the digest of its run would be most of such a row
     live = stage(live.withColumn("task_no", F.monotonically_increasing_id()), "live")
@@ -262,7 +284,7 @@ def staged_picks(listings: DataFrame, live: DataFrame, profile: PlanProfile, sco
         facts = stage(facts, "facts")
     stats = stage(listing_stats(facts), "stats")
     survivors = surviving_rows(facts, live, stats, task, profile.max_cap, profile.small, BROADCAST_BYTES)
-    said = read_signals(listings, survivors, live, task, profile.signals, profile.hints, BROADCAST_BYTES)
+    survivors, said = read_in_rounds(listings, survivors, live, task, profile, BROADCAST_BYTES)
     scored = score_survivors(survivors, said, live, task, profile.small, profile.floors)
     kept = [c for c in listings.columns if c not in (*ROW, "portal")]
     ranked = stage(_pick_per_task(scored, live, stats, profile).drop(*kept), "ranked")
@@ -349,10 +371,10 @@ def _coverage(tasks: DataFrame, stats: DataFrame, picked: DataFrame) -> DataFram
     )
 
 
-def _failures(coverage: DataFrame) -> DataFrame:
+def _failures(tasks: DataFrame) -> DataFrame:
     """Runs where every portal failed: the first error in place and portal order."""
     return (
-        coverage.groupBy(RUN)
+        tasks.groupBy(RUN)
         .agg(
             F.bool_and(F.col("error_code").isNotNull()).alias("all_failed"),
             F.min_by(F.struct("error_code", "error_message"), F.struct("loc_pos", "src_pos")).alias("first"),
